@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     for more in found[1:]:
         tops = tops.unionByName(more)
     return tops.select("query_id", F.posexplode("top").alias("at", "x")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.loss")).alias("score")
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.when(F.col("x.unknown") == 0, F.col("x.vec_id")).alias("vec_id"), (-F.col("x.loss")).alias("score")
     )
 
 
