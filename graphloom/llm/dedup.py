@@ -78,9 +78,10 @@ def located(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``dedup``."""
-    placed = located(docs)
-    dropped = dedup(docs).where("not kept").select("doc_id", F.struct("locator.file", "locator.row").alias("locator"))
-    return workspace.without(placed, dropped, "doc_id", "locator").select(*docs.columns)
+    place = F.xxhash64("locator.file", "locator.row").alias("_place")
+    placed = located(docs).select("*", place)
+    dropped = dedup(docs).where("not kept").select("locator", place)
+    return workspace.without(placed, dropped, "_place", "locator").select(*docs.columns)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
