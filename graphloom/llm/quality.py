@@ -30,7 +30,7 @@ STRONGEST = 1e6
 
 def _class_table() -> np.ndarray:
     """Columns: letters, capitals, digits, symbols, newlines, commas and stops."""
-    table = np.zeros((6, 256), np.int32)
+    table = np.zeros((6, 256), np.int8)
     byte = np.arange(256)
     upper, lower = (byte >= 65) & (byte <= 90), (byte >= 97) & (byte <= 122)
     table[0] = upper | lower | (byte >= 128)
@@ -47,15 +47,13 @@ def measures(texts: pa.Array, hasher: words.WordHasher, table: np.ndarray) -> np
     data, offsets = words.buffers(texts)
     n = len(offsets) - 1
     counts = np.zeros((6, n))
-    for k in range(6):
-        for lo in range(0, n, 4096):  # whole documents at a time
-            hi = min(n, lo + 4096)
-            s, e = offsets[lo], offsets[hi]
-            sums = np.concatenate([[0], np.cumsum(table[k][data[s:e]], dtype=np.int64)])
-            counts[k, lo:hi] = np.diff(sums[offsets[lo : hi + 1] - s])
     total, distinct, top, grams, distinct_grams = (np.zeros(n) for _ in range(5))
     for first, docs, hashes, owner in words.word_hashes(texts, hasher):
         span = slice(first, first + docs)
+        s, e = offsets[first], offsets[first + docs]
+        for k in range(6):  # sums over one run of documents at a time, else the sums of a batch take more than its text
+            sums = np.concatenate([[0], np.cumsum(table[k][data[s:e]], dtype=np.int64)])
+            counts[k, span] = np.diff(sums[offsets[first : first + docs + 1] - s])
         m = np.bincount(owner, minlength=docs)
         total[span] = m
         order = np.lexsort((hashes, owner))

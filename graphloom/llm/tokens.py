@@ -18,8 +18,8 @@ import unicodedata
 import numpy as np
 
 #: Words kept, first as they stand, then as letters alone.  A full table is emptied, so
-#: each Python worker holds at most about 100 and 140 MB.
-WORDS, STEMS, LONGEST = 500_000, 700_000, 48
+#: each Python worker holds at most about 45 and 55 MB.
+WORDS, STEMS, LONGEST = 200_000, 250_000, 48
 CLOSING = ".,!?;:*#$%&\"()-"
 
 
