@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 128
+CHUNK = 16
 
 
 def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
