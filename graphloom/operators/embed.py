@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import l2_normalised
-from graphloom.operators import matrix, sampling, structure
+from graphloom.operators import factors, matrix, sampling, structure
 from graphloom.operators.graph import PropertyGraph, ends
 from graphloom.plans.storage import stored
 
@@ -115,6 +115,7 @@ def factorised(graph: PropertyGraph, dim: int = 16, epochs: int = 20, rate: floa
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "deepWalk": deepwalk, "node2vec": node2vec, "grarep": grarep, "hope": hope, "lap": laplacian_map, "gf": factorised,
+    "line": factors.line, "sdne": factors.sdne, "tadw": factors.tadw, "lle": factors.lle,
 }
 
 

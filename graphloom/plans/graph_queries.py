@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import numeric as N
-from graphloom.operators import embed, evaluate, graph, matrix, sampling, structure, text
+from graphloom.operators import embed, evaluate, graph, matrix, networks, sampling, structure, text
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans.storage import stored
 from graphloom.sources import graph_files
@@ -513,3 +513,68 @@ def deepwalk_embedding(spark, folder):
 @query()
 def factorisation_embedding(spark, folder):
     return embed.factorised(PropertyGraph.from_edges(near(spark, folder)), 8, epochs=5)
+
+
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("features"))
+
+
+def _marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of vectors; one part in five tests, one validates."""
+    fifth = F.col("vec_id") % 5
+    return _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"), F.when(fifth == 0, "test").when(fifth == 1, "val").otherwise("train").alias("part"))
+
+
+@query()
+def line_embedding(spark, folder):
+    return embed.embed(PropertyGraph.from_edges(near(spark, folder)), "line", dim=8, order=3, epochs=3)
+
+
+@query()
+def sdne_embedding(spark, folder):
+    return embed.embed(PropertyGraph.from_edges(near(spark, folder)), "sdne", layers=(32, 8), epochs=3)
+
+
+@query()
+def tadw_embedding(spark, folder):
+    return embed.embed(PropertyGraph.from_edges(near(spark, folder)), "tadw", features=_features(spark, folder), dim=16, rounds=5)
+
+
+@query()
+def lle_embedding(spark, folder):
+    return embed.embed(PropertyGraph.from_edges(near(spark, folder)), "lle", dim=4)
+
+
+@query()
+def gcn_train(spark, folder):
+    return networks.gcn(near(spark, folder), _features(spark, folder), _marks(spark, folder), 10, epochs=2)[0]
+
+
+@query()
+def gcn_chebyshev_train(spark, folder):
+    return networks.gcn_chebyshev(near(spark, folder), _features(spark, folder), _marks(spark, folder), 10, order=2, epochs=1)[0]
+
+
+@query()
+def mlp_train(spark, folder):
+    return networks.mlp(_features(spark, folder), _marks(spark, folder), 10, epochs=3)[0]
+
+
+@query()
+def link_prediction_mlp(spark, folder):
+    pairs = structure.train_test(near(spark, folder), 0.8, 2)
+    vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return networks.link_prediction(pairs, vectors, epochs=5)[0]
+
+
+@query()
+def label_ranking(spark, folder):
+    rows = _table(spark, folder, "embeddings")
+    labels = rows.select(F.col("vec_id").alias("line_no"), F.col("vec_id").alias("id"), F.array(F.col("label").cast("string")).alias("labels"))
+    return networks.rank_labels(rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), labels, 0.5, epochs=5)
+
+
+@query()
+def pca_projection(spark, folder):
+    rows = _table(spark, folder, "embeddings")
+    return networks.principal_components(rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), 2)
