@@ -542,7 +542,8 @@ def tadw_embedding(spark, folder):
 
 @query()
 def lle_embedding(spark, folder):
-    return embed.embed(PropertyGraph.from_edges(near(spark, folder)), "lle", dim=4)
+    edges = graph.symmetrized(trade(spark, folder).where("src <> dst"))
+    return embed.embed(PropertyGraph.from_edges(edges), "lle", dim=4)
 
 
 @query()
