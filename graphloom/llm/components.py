@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from graphloom.llm import workspace
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Connect each node's larger neighbours to the least node near it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return workspace.join_totals(both.where("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """Connect each node and its smaller neighbours to the least of them; edges run from larger u to smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = workspace.join_totals(edges, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -26,8 +26,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """node, root for every node of the edges (u, v); root is the least node of its component.
 
     Nulls and loops are dropped.  Rounds grow with the logarithm of the graph; each is written
-    to the shared folder.  Both steps aggregate before they join, and a node of any degree is
-    split over tasks by the skew join.
+    to the shared folder.  Both steps aggregate before they join, and edges of the nodes of highest
+    degree stay in their tasks.
     """
     ordered = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state = workspace.keep(ordered, name)
@@ -38,6 +38,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if now == mark or not now["n"]:
             break
         mark = now
-        state = workspace.keep(_small(_large(state)), name)
+        # the large step gives at most one edge for each that it reads
+        state = workspace.keep(_small(_large(state, now["n"]), now["n"]), name)
     pairs = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())

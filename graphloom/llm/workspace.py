@@ -19,6 +19,8 @@ _ISSUED: list[str] = []
 #: Keys of ``prefilter`` fall into this many slots, so what it broadcasts is at most
 #: this many integers (8 MB), whatever the size of the data.
 PREFILTER_SLOTS = 1 << 20
+#: ``join_totals`` takes a key for hot from this part of all rows on.
+HOT_SHARE = 256
 
 
 def ship(*modules: str) -> None:
@@ -78,6 +80,18 @@ def prefilter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     )
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``totals``, which has one row for each key and, in ``count``, how many rows the key has.
+
+    Rows of keys that hold over 1/``HOT_SHARE`` of ``total`` rows are never shuffled: there are fewer
+    than ``HOT_SHARE`` such keys whatever the data, so their totals are broadcast.  Null keys go.
+    """
+    bar = total // HOT_SHARE
+    hot = F.broadcast(totals.where(F.col(count) > bar))
+    cold = rows.join(hot.select(key), key, "left_anti").join(totals.where(F.col(count) <= bar), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, *also: str) -> DataFrame:
     """Rows not in ``gone``, compared by ``key`` and the columns ``also``, nulls being equal there.
 
