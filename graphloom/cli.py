@@ -52,7 +52,7 @@ def parameters(options: argparse.Namespace) -> dict:
     skip = {"length": o.walk_length, "window": o.window_size}
     return {
         "deepWalk": dim | skip | {"walks": o.number_walks},
-        "node2vec": dim | skip | {"p": o.p, "q": o.q},
+        "node2vec": dim | skip | {"walks": o.number_walks, "p": o.p, "q": o.q},
         "line": dim | {"order": o.order, "negatives": o.negative_ratio, "epochs": o.epochs},
         "grarep": dim | {"steps": o.kstep},
         "hope": dim,

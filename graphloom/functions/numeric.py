@@ -10,8 +10,8 @@ M = 1 << 31
 
 def lcg(a: Column, b: Column, seed: int = 0) -> Column:
     """A portable random integer of [0, 2**31) for two non-negative integers: two rounds of a linear congruential generator."""
-    first = (a.cast("long") * 1103515245 + 12345 + seed) % M
-    return (((first + b.cast("long") * 7919) % M) * 1103515245 + 12345) % M
+    first = (a.cast("long") % M * 1103515245 + 12345 + seed) % M
+    return (((first + b.cast("long") % M * 7919) % M) * 1103515245 + 12345) % M
 
 
 def uniform(a: Column, b: Column, seed: int = 0) -> Column:

@@ -90,12 +90,12 @@ def _word2vec(walks: DataFrame, keys: list[str], dim: int, window: int, epochs:
 
 def deepwalk(graph: PropertyGraph, dim: int = 128, walks: int = 10, length: int = 80, window: int = 10, epochs: int = 1, seed: int = 32) -> DataFrame:
     """Skip-gram with hierarchical softmax over uniform walks; ids come back as strings."""
-    return _word2vec(sampling.uniform_walks(graph.edges, length, walks, seed), ["walk", "start"], dim, window, epochs, seed)
+    return _word2vec(sampling.uniform_walks(graph.edges, length, walks, seed, nodes=graph.nodes), ["walk", "start"], dim, window, epochs, seed)
 
 
-def node2vec(graph: PropertyGraph, dim: int = 128, length: int = 80, p: float = 1.0, q: float = 1.0, window: int = 10, epochs: int = 1, seed: int = 32) -> DataFrame:
-    """Skip-gram over second-order walks, one from each node."""
-    return _word2vec(sampling.biased_walks(graph.edges, length, p, q, seed), ["start"], dim, window, epochs, seed)
+def node2vec(graph: PropertyGraph, dim: int = 128, walks: int = 10, length: int = 80, p: float = 1.0, q: float = 1.0, window: int = 10, epochs: int = 1, seed: int = 32) -> DataFrame:
+    """Skip-gram over second-order walks from each node."""
+    return _word2vec(sampling.biased_walks(graph.edges, length, p, q, seed, walks=walks, nodes=graph.nodes), ["walk", "start"], dim, window, epochs, seed)
 
 
 def factorised(graph: PropertyGraph, dim: int = 16, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, seed: int = 32) -> DataFrame:

@@ -19,16 +19,23 @@ def _ranked(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight", (F.row_number().over(w.orderBy("dst")) - 1).cast("long").alias("pos"), F.count(F.lit(1)).over(w).alias("deg"))
 
 
-def uniform_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 0, cut: int = 5) -> DataFrame:
-    """(walk, start, step, node): walks of up to ``length`` nodes from every source node.
+def _starts(edges: DataFrame, nodes: DataFrame | None, walks: int) -> DataFrame:
+    """(walk, start): each walk from each node, those without arcs too."""
+    ids = edges.select("src").unionByName(edges.select(F.col("dst").alias("src")))
+    if nodes is not None:
+        ids = ids.unionByName(nodes.select(F.col("id").alias("src")))
+    return ids.distinct().select(F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.col("src").alias("start"))
+
+
+def uniform_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 0, cut: int = 5, nodes: DataFrame | None = None) -> DataFrame:
+    """(walk, start, step, node): walks of up to ``length`` nodes from every node of the edges and of ``nodes``.
 
     Weights are ignored; a walk ends early at a node without arcs.  Each step joins the walkers
     to the arc their draw picks, one row for each walker.
     """
     arcs = stored(_ranked(edges), "arcs")
     degree = arcs.select("src", "deg").distinct()
-    starts = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
-    now = starts.select(F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.col("src").alias("start"), F.col("src").alias("node"))
+    now = _starts(edges, nodes, walks).withColumn("node", F.col("start"))
     out = now.select("walk", "start", F.lit(0).alias("step"), "node")
     for step in range(1, length):
         drawn = now.join(degree.withColumnRenamed("src", "node"), "node").withColumn("pos", lcg(F.col("start") * walks + F.col("walk"), F.lit(step), seed) % F.col("deg"))
@@ -56,21 +63,21 @@ def _cumulative(rows: DataFrame, keys: list[str], value: str, prob: str) -> Data
     return rows.withColumn("hi", F.sum(prob).over(upto)).withColumn("lo", F.col("hi") - F.col(prob))
 
 
-def biased_walks(edges: DataFrame, length: int, p: float, q: float, seed: int = 0, cut: int = 5) -> DataFrame:
-    """(start, step, node): the first step by weight, later ones by ``transitions``, each by inverse CDF."""
+def biased_walks(edges: DataFrame, length: int, p: float, q: float, seed: int = 0, cut: int = 5, walks: int = 1, nodes: DataFrame | None = None) -> DataFrame:
+    """(walk, start, step, node): the first step by weight, later ones by ``transitions``, each by inverse CDF."""
     weights = edges.withColumn("prob", F.col("weight") / F.sum("weight").over(Window.partitionBy("src")))
     first = stored(_cumulative(weights.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "prob"), ["cur"], "nxt", "prob"), "first")
     later = stored(_cumulative(transitions(edges, p, q), ["prev", "cur"], "nxt", "prob"), "later")
-    now = edges.select(F.col("src").alias("start")).distinct().withColumn("cur", F.col("start"))
-    out = now.select("start", F.lit(0).alias("step"), F.col("cur").alias("node"))
+    now = _starts(edges, nodes, walks).withColumn("cur", F.col("start"))
+    out = now.select("walk", "start", F.lit(0).alias("step"), F.col("cur").alias("node"))
     for step in range(1, length):
-        drawn = now.withColumn("u", uniform(F.col("start"), F.lit(step), seed))
+        drawn = now.withColumn("u", uniform(F.col("start") * walks + F.col("walk"), F.lit(step), seed))
         table, keys = (first, ["cur"]) if step == 1 else (later, ["prev", "cur"])
         inside = (F.col("u") >= F.col("lo") - 1e-12) & (F.col("u") < F.col("hi") - 1e-12)
-        now = drawn.join(table, keys).where(inside).select("start", F.col("cur").alias("prev"), F.col("nxt").alias("cur"))
+        now = drawn.join(table, keys).where(inside).select("walk", "start", F.col("cur").alias("prev"), F.col("nxt").alias("cur"))
         if step % cut == 0:
             now = stored(now, "walkers")
-        out = out.unionByName(now.select("start", F.lit(step).alias("step"), F.col("cur").alias("node")))
+        out = out.unionByName(now.select("walk", "start", F.lit(step).alias("step"), F.col("cur").alias("node")))
     return out
 
 

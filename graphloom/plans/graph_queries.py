@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import numeric as N
 from graphloom.operators import embed, evaluate, graph, matrix, networks, sampling, structure, text
 from graphloom.operators.graph import PropertyGraph
-from graphloom.plans.storage import stored
+from graphloom.plans.storage import shared_folder, stored
 from graphloom.sources import graph_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,6 +272,11 @@ def grarep_log_k2(spark, folder):
     return _log(spark, folder, 2)
 
 
+@query(_log_sql("p3", P3))
+def grarep_log_k3(spark, folder):
+    return _log(spark, folder, 3)
+
+
 @query(f"with {P2} select i, j, round(sum(v) / 2, 6) + 0.0 as v from (select * from p union all select * from p2) group by i, j")
 def tadw_target(spark, folder):
     return _rounded(matrix.tadw_target(_p(spark, folder)), "v")
@@ -317,6 +323,41 @@ def chebyshev_t2(spark, folder):
     return _rounded(matrix.chebyshev(scaled, _nodes(a), 2)[2], "v")
 
 
+@query(f"""with {NEAR}, d as (select src as id, sum(w) as d from near group by src), l as (select src as i, dst as j, -w / sqrt(a.d) / sqrt(b.d) as v from near join d a on a.id = src join d b on b.id = dst),
+    t2 as (select i, j, sum(v) as v from (select a.i, b.j, 2 * a.v * b.v as v from l a join l b on a.j = b.i union all select id, id, -1.0 from nodes) group by i, j),
+    t3 as (select i, j, sum(v) as v from (select a.i, b.j, 2 * a.v * b.v as v from l a join t2 b on a.j = b.i union all select i, j, -v from l) group by i, j)
+    select i, j, round(v, 6) + 0.0 as v from t3""")
+def chebyshev_t3(spark, folder):
+    a = near(spark, folder)
+    scaled = matrix.scaled_laplacian(matrix.matrix(a), _nodes(a), 2.0).where("abs(v) > 1e-12")
+    return _rounded(matrix.chebyshev(scaled, _nodes(a), 3)[3], "v")
+
+
+@query(f"with {HAT}, {VEC}, once as (select i as id, k, sum(v * x) as x from hat join vec on vec.id = j group by all) select i as id, k, round(sum(v * x), 6) + 0.0 as x from hat join once on once.id = j group by all")
+def gcn_two_hop_propagate(spark, folder):
+    hat = _hat(spark, folder)
+    return _rounded(matrix.times_dense(hat, matrix.times_dense(hat, _vectors(spark, folder))), "x")
+
+
+REST = f"{NEAR}, rest as (select i, j, sum(v) as v from (select id as i, id as j, 1.0::double as v from nodes union all select src, dst, -w / sum(w) over (partition by src) from near) group by i, j)"
+
+
+def _rest(spark, folder):
+    a = near(spark, folder)
+    return matrix.combined((1, matrix.identity(_nodes(a))), (-1, matrix.row_l1(matrix.matrix(a))))
+
+
+@query(f"with {REST} select i, j, round(v, 6) + 0.0 as v from rest")
+def lle_i_minus_p(spark, folder):
+    return _rounded(_rest(spark, folder), "v")
+
+
+@query(f"with {REST} select a.j as i, b.j as j, round(sum(a.v * b.v), 6) + 0.0 as v from rest a join rest b on a.i = b.i group by all")
+def lle_gram(spark, folder):
+    m = _rest(spark, folder)
+    return _rounded(matrix.product(matrix.transposed(m), m), "v")
+
+
 @query("select vec_id as id, round(x / list_sum(list_transform(e, lambda y: abs(y))), 6) + 0.0 as x, k from (select vec_id, cast(embedding as double[]) as e, unnest(range(len(embedding)))::int as k, unnest(list_transform(cast(embedding as double[]), lambda y: abs(y))) as x from embeddings)")
 def features_row_normalised(spark, folder):
     rows = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), N.l1_normalised(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("f"))
@@ -353,6 +394,20 @@ def skipgram_pairs(spark, folder):
     return sampling.skipgram_pairs(walks, ["start"], 2)
 
 
+_U = f"(floor({_lcg('w.start', 'w.step + 1', 9)}::double / 65536) / 32768::double)"
+
+
+@query(f"""with recursive {NEAR}, f as (select -1::bigint as prev, src as cur, dst as nxt, w / sum(w) over (partition by src) as prob from near),
+    t as (select a.src as prev, a.dst as cur, b.dst as nxt, case when b.dst = a.src then b.w / 0.25 when exists (select 1 from near c where c.src = b.dst and c.dst = a.src) then b.w else b.w / 4 end as bias
+      from near a join near b on a.dst = b.src), steps as (select * from f union all select prev, cur, nxt, bias / sum(bias) over (partition by prev, cur) from t),
+    cdf as (select *, sum(prob) over (partition by prev, cur order by nxt rows unbounded preceding) as hi from steps),
+    w(start, step, prev, node) as (select id, 0, -1::bigint, id from nodes union all select w.start, w.step + 1, w.node, c.nxt from w join cdf c on c.prev = w.prev and c.cur = w.node
+      and {_U} >= c.hi - c.prob - 1e-12::double and {_U} < c.hi - 1e-12::double where w.step < 5)
+    select start, step, node from w""")
+def biased_walks(spark, folder):
+    return sampling.biased_walks(near(spark, folder), 6, 0.25, 4.0, 9).select("start", "step", "node")
+
+
 @query(f"with {TRADE}, s as (select src as id, pow(sum(w), 0.75) as s from trade group by src) select id, round(s / sum(s) over (), 6) + 0.0 as prob from s")
 def line_noise(spark, folder):
     return _rounded(sampling.noise(trade(spark, folder)), "prob")
@@ -391,8 +446,44 @@ def edge_features_hadamard(spark, folder):
     return _rounded(rows, "x")
 
 
+@query(f"with {DOTS} select src, dst, round(1 / (1 + exp(-d)), 6) + 0.0 as score from dots where src < dst")
+def edge_scores(spark, folder):
+    return _rounded(_dots(spark, folder).where("src < dst").select("src", "dst", N.sigmoid(F.col("d")).alias("score")), "score")
+
+
+@query(f"""with {NEAR} select round(sum(w * list_sum(list_transform(list_zip(cast(a.embedding as double[]), cast(b.embedding as double[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 5) + 0.0 as loss
+    from near join embeddings a on a.vec_id = src join embeddings b on b.vec_id = dst""")
+def sdne_first_order_loss(spark, folder):
+    apart = F.zip_with("a", "b", lambda x, y: x.cast("double") - y.cast("double"))
+    return _dots(spark, folder).agg((F.round(F.sum(F.col("weight") * N.dot(apart, apart)), 5) + 0.0).alias("loss"))
+
+
 # ---- evaluation ----
 
+LOGITS = "rows as (select label, list_slice(cast(embedding as double[]), 1, 10) as z from embeddings where vec_id % 2 = 0)"
+
+
+def _logits(spark, folder):
+    return _table(spark, folder, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("logits"), F.col("label").alias("y"), (F.col("vec_id") % 2 == 0).alias("mask"))
+
+
+@query(f"with {LOGITS} select round(avg((list_position(z, list_max(z)) - 1 = label)::int), 6) + 0.0 as accuracy from rows")
+def gcn_masked_accuracy(spark, folder):
+    return _rounded(evaluate.masked_accuracy(_logits(spark, folder).withColumn("probs", N.softmax(F.col("logits")))), "accuracy")
+
+
+@query(f"with {LOGITS} select round(avg(ln(list_sum(list_transform(z, lambda x: exp(x)))) - z[label + 1]), 6) + 0.0 as loss from rows")
+def gcn_masked_cross_entropy(spark, folder):
+    return _rounded(evaluate.masked_cross_entropy(_logits(spark, folder)), "loss")
+
+
+@query()
+def label_split(spark, folder):
+    """Labels in the order of their documents, half of them for training by numpy's permutation."""
+    rows = _table(spark, folder, "labels").select(F.col("doc_id").alias("line_no"), F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return evaluate.permutation_split(rows, 0.5).select("id", "label", "part")
+
+
 SCORES = f"scores as (select round({_lcg('doc_id', '1', 5)} % 1000 / 1000.0 + quality * 0.2, 6)::double as score, quality as label from labels)"
 
 
@@ -477,16 +568,30 @@ def tfidf(spark, folder):
 
 @query("select vec_id::varchar as id, k, x from (select vec_id, unnest(range(len(embedding)))::int as k, unnest(list_transform(embedding, lambda y: round(y::double, 6) + 0.0)) as x from embeddings)")
 def vectors_text_roundtrip(spark, folder):
-    import uuid
-
-    from graphloom.plans.storage import shared_folder
-
-    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    path = _scratch(spark, "vectors")
     rows = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: N.r6(x.cast("double"))).alias("vec"))
     graph_files.write_vectors(rows, path)
     return graph_files.read_vectors(spark, path).select("id", F.posexplode("vec").alias("k", "x"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"with {NEAR} select src::varchar as src, dst::varchar as dst, w as weight from near")
+def adjlist_roundtrip(spark, folder):
+    path = _scratch(spark, "adjlist")
+    graph_files.write_adjlist(near(spark, folder), path)
+    return graph_files.read_adjlist(spark, path).edges
+
+
+@query(f"with {TRADE} select src::varchar as src, dst::varchar as dst, w as weight from trade")
+def edgelist_roundtrip(spark, folder):
+    path = _scratch(spark, "edgelist")
+    graph_files.write_edgelist(trade(spark, folder), path)
+    return graph_files.read_edgelist(spark, path, weighted=True, directed=True).edges
+
+
 # ---- embeddings; not expressible in SQL ----
 
 
@@ -510,6 +615,11 @@ def deepwalk_embedding(spark, folder):
     return embed.deepwalk(PropertyGraph.from_edges(near(spark, folder)), 16, walks=2, length=10, window=4)
 
 
+@query()
+def node2vec_embedding(spark, folder):
+    return embed.node2vec(PropertyGraph.from_edges(near(spark, folder)), 16, walks=2, length=10, p=0.25, q=4.0, window=4)
+
+
 @query()
 def factorisation_embedding(spark, folder):
     return embed.factorised(PropertyGraph.from_edges(near(spark, folder)), 8, epochs=5)

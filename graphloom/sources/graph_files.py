@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import PropertyGraph, last_wins, symmetrized
+from graphloom.operators.graph import PropertyGraph, last_wins, neighbours, symmetrized
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +98,12 @@ def write_edgelist(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string"))).write.text(path)
 
 
+def write_adjlist(edges: DataFrame, path: str) -> None:
+    """A line for each source: its id and those of its neighbours in order."""
+    near = neighbours(edges).select(F.concat_ws(" ", F.col("id").cast("string"), F.transform("nbrs", lambda x: x.cast("string"))))
+    near.write.text(path)
+
+
 def write_projector(vectors: DataFrame, labels: DataFrame, folder: str) -> None:
     """Tab-separated vectors and, in the same order of ids, their labels."""
     ordered = vectors.join(labels, "id").orderBy("id")
