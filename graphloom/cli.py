@@ -86,7 +86,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> dict:
         named = labels.join(book, "id").select("line_no", F.col("idx").alias("id"), "labels")
         ys = stored(networks.label_indicator(named), "ys")
         marks = networks.split_nodes(ys, o.clf_ratio)
-        found, history = networks.gcn(numbered.edges, features, marks, ys.agg(F.max("y")).first()[0] + 1, o.hidden, o.epochs, rate=o.lr, decay=o.weight_decay, dropout=o.dropout)
+        found, history = networks.gcn(numbered.edges, features, marks, ys.agg(F.max("y")).first()[0] + 1, hidden=o.hidden, epochs=o.epochs, rate=o.lr, decay=o.weight_decay, dropout=o.dropout)
         if o.output:
             graph_files.write_vectors(_named(found.select("id", F.col("hidden").alias("vec")), book), o.output)
         return {"seconds": round(time.time() - began, 3)} | history[-1]
