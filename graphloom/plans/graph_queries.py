@@ -64,10 +64,10 @@ def trade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coord(spark: SparkSession, folder: str) -> DataFrame:
-    """u < v: suppliers that share an order on its first two lines."""
+    """u < v: suppliers that share an order, weight the number of orders they share."""
 
     def make() -> DataFrame:
-        items = _table(spark, folder, "lineitem").where("l_linenumber <= 2").select("l_orderkey", F.col("l_suppkey").alias("u")).distinct()
+        items = _table(spark, folder, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("u")).distinct()
         pairs = items.join(items.withColumnRenamed("u", "v"), "l_orderkey").where("u < v")
         return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 

@@ -1,11 +1,16 @@
+import collections
+import itertools
 import math
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import embed, evaluate, graph, matrix, sampling, structure
 from graphloom.operators.graph import PropertyGraph
+from graphloom.plans import graph_queries
 from graphloom.sources import graph_files
+from tests.conftest import DATA
 
 TWO_CLIQUES = [(a, b) for base in (0, 10) for a in range(base, base + 5) for b in range(base, base + 5) if a < b] + [(4, 10)]
 
@@ -135,3 +140,19 @@ def test_zero_labels_are_predicted_none(spark):
     scores = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.9), (2, "b", 0.1)], "id long, label string, score double")
     truth = spark.createDataFrame([(2, "b")], "id long, label string")
     assert rows(evaluate.top_ranked(scores, truth)) == [(2, "a")]
+
+
+def test_shared_orders_take_every_line(spark):
+    orders = collections.defaultdict(set)
+    for r in pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_suppkey"]).to_pylist():
+        orders[r["l_orderkey"]].add(r["l_suppkey"])
+    want = collections.Counter(p for s in orders.values() for p in itertools.combinations(sorted(s), 2))
+    assert {(r.u, r.v): r.weight for r in graph_queries.coord(spark, DATA).collect()} == want
+    degree = collections.Counter(i for p in want for i in p)
+    top = sorted(degree.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [tuple(r) for r in graph_queries.degree_top_k(spark, DATA).collect()] == top
+    rest = {(*p, w) for p, w in want.items() if sum(p) % 3}
+    assert {tuple(r) for r in graph_queries.edge_difference(spark, DATA).collect()} == rest
+    assert {(r.u, r.v) for r in graph_queries.edge_split(spark, DATA).where("label = 1").collect()} == set(want)
+    sample = graph_queries.edge_sample(spark, DATA).collect()
+    assert len(sample) == len(set(sample)) == min(500, len(want)) and all(want[r.u, r.v] == r.weight for r in sample)
