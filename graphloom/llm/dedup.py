@@ -79,9 +79,9 @@ def located(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``dedup``."""
     place = F.xxhash64("locator.file", "locator.row").alias("_place")
-    placed = located(docs).select("*", place)
-    dropped = dedup(docs).where("not kept").select("locator", place)
-    return workspace.without(placed, dropped, "_place", "locator").select(*docs.columns)
+    placed = located(docs)  # once: rows that don't come from files get new places each time
+    dropped = _decided(placed).where("not kept").select("locator", place)
+    return workspace.without(placed.select("*", place), dropped, "_place", "locator").select(*docs.columns)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -92,10 +92,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     first of them stays; a null id is the largest.  An empty table gives no rows; other columns
     are ignored.
     """
+    return _decided(located(docs.select("doc_id", "text")))
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """``dedup`` of a table that has its ``locator``."""
     spark = docs.sparkSession
     text = normal(F.col("text"))
     path = workspace.folder(spark, "dedup-digests")
-    located(docs.select("doc_id", "text")).select("doc_id", F.sha2(text, 256).alias("digest"), "locator").write.parquet(path)
+    docs.select("doc_id", F.sha2(text, 256).alias("digest"), "locator").write.parquet(path)
     digests = spark.read.parquet(path)
     state = workspace.keep(_through_state(digests, path), "dedup-state")
     hits = state.where("copies > 1")

@@ -216,6 +216,15 @@ def test_dedup_against_brute_force(docs):
     assert sum(r["kept"] for r in found) == len(groups) == dedup.deduplicated(docs).count()
 
 
+def test_deduplicated_rows_that_are_no_file_scan(spark, docs):
+    made = spark.createDataFrame(corpus(), DOCS)
+    want = collections.Counter(r[0] for r in dedup.deduplicated(docs).select("doc_id").collect())
+    for rows in (made, docs.where("doc_id < 9").unionByName(docs.where("doc_id >= 9 or doc_id is null"))):
+        assert collections.Counter(r[0] for r in dedup.deduplicated(rows).select("doc_id").collect()) == want
+    stayed = corpus_pipeline.drop_copies(spark, made, "").select("doc_id").collect()
+    assert collections.Counter(r[0] for r in stayed) == want
+
+
 def test_dedup_of_nothing(none):
     assert dedup.dedup(none).count() == 0 and dedup.deduplicated(none).count() == 0
 
