@@ -16,10 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; an id stays if any of its rows is accepted."""
-    judged = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = judged.groupBy("doc_id").agg(F.max("keep").alias("keep")).where("not keep")
-    return workspace.without(docs.select(*COLUMNS), rejected, "doc_id")
+    """Documents that the classifier accepts, each row by its own score whatever its id."""
+    placed = dedup.located(docs.select(*COLUMNS))
+    judged = quality.score(placed, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=("locator",))
+    return dedup.without_places(placed, judged.where("not keep")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one of least id; rows without id are in no class and stay."""
-    found = neardup.join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"))
-    return workspace.without(docs.select(*COLUMNS), found.where("not first"), "doc_id")
+    """One document of each class, the one of least id, null ids last, of equal ids the first by place.
+
+    The join gets a number for each row, so rows of null id and of one id are compared as all others.
+    """
+    placed = dedup.located(docs.select(*COLUMNS))
+    files = sorted(r[0] for r in placed.select("locator.file").distinct().collect())
+    order = spark.createDataFrame(list(enumerate(files)), "_file long, _path string")
+    numbered = placed.join(F.broadcast(order), F.col("locator.file") == F.col("_path")).withColumn("_row", F.col("_file") * (1 << 40) + F.col("locator.row"))
+    found = neardup.join(numbered.select(F.col("_row").alias("doc_id"), "text")).where("links > 0")
+    members = workspace.keep(found.select(F.col("doc_id").alias("_row"), "class_id").join(numbered.select("_row", "doc_id"), "_row"), "pipeline-near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row"))
+    classes = members.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = workspace.join_totals(members, classes, "class_id", "n", members.count()).where("_row <> first._row")
+    return workspace.without(numbered, gone, "_row").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

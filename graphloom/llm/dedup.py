@@ -76,12 +76,16 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
 
 
+def without_places(placed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of a located table whose ``locator`` isn't in ``gone``."""
+    place = F.xxhash64("locator.file", "locator.row").alias("_place")
+    return workspace.without(placed.select("*", place), gone.select("locator", place), "_place", "locator").drop("_place")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``dedup``."""
-    place = F.xxhash64("locator.file", "locator.row").alias("_place")
     placed = located(docs)  # once: rows that don't come from files get new places each time
-    dropped = _decided(placed).where("not kept").select("locator", place)
-    return workspace.without(placed.select("*", place), dropped, "_place", "locator").select(*docs.columns)
+    return without_places(placed, _decided(placed).where("not kept")).select(*docs.columns)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

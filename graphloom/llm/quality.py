@@ -122,19 +122,19 @@ def _strength(n: float, sites: float, squares: float, total: float, spread: floa
 
 def score(
     docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None,
-    threshold: float = 0.5, labelled: int = LABELLED,
+    threshold: float = 0.5, labelled: int = LABELLED, also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, host, path, evidence, host_quality, path_quality, quality, keep for each row of ``docs``.
+    """doc_id, host, path, evidence, host_quality, path_quality, quality, keep and ``also`` for each row of ``docs``.
 
     ``labels`` has doc_id and quality (0 or 1); nulls there are ignored, several labels of an id are
     averaged.  At most ``labelled`` of them, chosen by a hash of the id, are fitted.  Without labels
     of both kinds the evidence is even.  host defaults to ``source`` and path to ``lang``; nulls
     are sites of their own.  A null text counts as empty.  Rows of one id are all scored; an empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns than ``also`` are ignored.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    own = [F.col("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path")]
+    own = [F.col("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), *also]
     seen = workspace.keep(evidence_features(docs, own), "quality-features")
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     n = marks.count()
@@ -170,7 +170,7 @@ def score(
     return (
         joined.withColumn("path_quality", path_quality)
         .withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
-        .select("doc_id", "d.host", "d.path", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("keep"))
+        .select("doc_id", "d.host", "d.path", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("keep"), *also)
     )
 
 

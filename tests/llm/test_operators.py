@@ -335,3 +335,22 @@ def test_pipeline_stages_keep_rows_and_columns(spark, docs):
         if name != "best-fit packing":
             assert now.columns == list(corpus_pipeline.COLUMNS)
     assert now.count() > 0
+
+
+def test_pipeline_decides_by_row(spark):
+    junk, good = "@@ ## 11 $$ %% 22 && ** 33", prose(80)
+    labels = [(k, k % 2, 0) for k in range(20)]
+    labels_path = workspace.folder(spark, "t")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{labels_path}/labels.parquet")
+    rows = [(k, prose(80) if k % 2 else junk + " ?" * k) for k in range(20)] + [(None, junk), (None, good), (31, junk), (31, prose(80))]
+    made = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stayed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_quality(spark, made, labels_path).collect()]
+    assert sorted(stayed, key=str) == sorted(((i, t) for i, t in rows if "@" not in t), key=str)
+
+    changed = lambda t, w: " ".join([*t.split()[:-1], w])
+    other = prose(80)
+    rows = [(1, good), (None, changed(good, "x")), (2, changed(good, "y")), (2, other), (None, changed(other, "z")), (None, "")]
+    rows += [(7, prose(80)), (None, prose(80)), (None, None), (3, "alone")]
+    made = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], made.schema)
+    stayed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, made, "").collect()]
+    assert sorted(stayed, key=str) == sorted([rows[0], rows[3], *rows[5:]], key=str)
