@@ -170,7 +170,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 
 
 def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
-    """node, parent, links for rows (root, i, j, side, rep, copies, set) sorted by (root, i, j, side, rep)."""
+    """node, parent, links for rows (root, i, j, side, node, copies, set) sorted by (root, i, j, side, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -205,27 +205,26 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
     Words are runs other than space and 0x09-0x0D, as they stand.  A text of 1 to n-1 words has one
     gram, of all its words; a null or empty text has none and links to nothing, nor do rows of null
-    id, whose class is null.  Rows of one id and equal sets count as copies; other columns are
-    ignored; an empty table gives no rows.
+    id, whose class is null.  Rows of one id and equal sets count as copies, those of one id and other
+    sets have links and classes of their own; other columns are ignored; an empty table gives no rows.
     """
     bands, rows = banding(threshold, recall)
     signed = workspace.keep(signatures(docs, n, bands, rows), "neardup-signatures")
     useful = signed.where("grams > 0 and doc_id is not null")
-    classes = workspace.keep(
-        useful.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")),
-        "neardup-classes",
-    )
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
-    roots = buckets.groupBy("bucket").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    stars = buckets.join(roots, "bucket").where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    sets_of = useful.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    # a number for each set, fixed by writing it, since two sets of one id may have the same rep
+    classes = workspace.keep(sets_of.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    roots = buckets.groupBy("bucket").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    stars = buckets.join(roots, "bucket").where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     candidates = components.components(stars, "neardup-candidates")
 
-    members = candidates.join(classes.select(F.col("rep").alias("node"), "k1", "k2", "copies", "grams"), "node")
+    members = candidates.join(classes.select("node", "rep", "k1", "k2", "copies", "grams"), "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
     tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("g") / TILE_GRAMS)).cast("int")
     placed = members.join(sizes.select("root", tiles.alias("tiles")), "root")
     placed = workspace.keep(
-        placed.select("root", F.col("node").alias("rep"), "k1", "k2", "copies", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")), "neardup-members"
+        placed.select("root", "node", "rep", "k1", "k2", "copies", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")), "neardup-members"
     )
     # Texts of candidates only: a prefilter of bounded size, then an exact join on the id.
     ids = placed.select(F.col("rep").alias("doc_id"))
@@ -234,15 +233,17 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     sets = _sets(texts, n).groupBy("rep", "k1", "k2").agg(F.first("set").alias("set"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"), (F.col("tile") > t).cast("int").alias("side")))
     known = placed.join(sets, ["rep", "k1", "k2"])
-    spread = known.select("root", "rep", "copies", "set", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "rep", "copies", "set")
-    dealt = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "rep")
+    spread = known.select("root", "node", "copies", "set", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "node", "copies", "set")
+    dealt = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
     verified = workspace.keep(_verify(dealt, threshold), "neardup-links")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     final = components.components(verified.select(F.col("node").alias("u"), F.col("parent").alias("v")), "neardup-classes-of")
-    told = classes.select("k1", "k2", "rep", "copies")
-    told = told.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select("k1", "k2", "rep", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
+    linked = workspace.keep(final.join(classes.select("node", "rep"), "node"), "neardup-linked")
+    least = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    named = workspace.join_totals(linked, least, "root", "n", linked.count()).select("node", "class_id")
+    told = classes.select("node", "k1", "k2", "rep", "copies").join(links, "node", "left").join(named, "node", "left")
+    told = told.select("k1", "k2", "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
     plain = signed.where("grams = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.col("doc_id").alias("representative"))
     return useful.select("doc_id", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "class_id", "links", F.col("rep").alias("representative")).unionByName(plain)
 

@@ -262,6 +262,14 @@ def test_near_duplicates_against_brute_force(docs, tile, monkeypatch):
             assert (r["class_id"], r["links"]) == (reach(i), links[i]), i
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    one, two = prose(80).split(), prose(80).split()
+    texts = [(5, one), (1, [*one[:-1], "x"]), (5, two), (6, [*two[:-1], "x"]), (7, [*two[:-1], "y"]), (5, prose(80).split()), (8, one)]
+    made = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["class_id"], r["links"], r["representative"]) for r in neardup.join(made).collect())
+    assert found == [(1, 1, 2, 1), (5, 1, 2, 5), (5, 5, 0, 5), (5, 5, 2, 5), (6, 5, 2, 6), (7, 5, 2, 7), (8, 1, 2, 5)]
+
+
 def test_near_duplicates_of_nothing(none):
     assert neardup.join(none).count() == 0
 
