@@ -133,10 +133,13 @@ def gcn(edges: DataFrame, features: DataFrame, marks: DataFrame, classes: int, *
     return _convolved([matrix.renormalised(matrix.matrix(edges), features.select("id"))], features, marks, classes, more)
 
 
-def gcn_chebyshev(edges: DataFrame, features: DataFrame, marks: DataFrame, classes: int, order: int = 3, largest: float = 2.0, **more) -> tuple[DataFrame, list[dict]]:
-    """The same over the Chebyshev terms 0 to ``order`` of the scaled Laplacian."""
-    nodes = features.select("id")
-    scaled = stored(matrix.scaled_laplacian(matrix.matrix(edges), nodes, largest), "scaled")
+def gcn_chebyshev(edges: DataFrame, features: DataFrame, marks: DataFrame, classes: int, order: int = 3, largest: float | None = None, **more) -> tuple[DataFrame, list[dict]]:
+    """The same over the Chebyshev terms 0 to ``order`` of the Laplacian scaled by its largest eigenvalue, computed if not given."""
+    nodes, a = features.select("id"), matrix.matrix(edges)
+    if largest is None:
+        lap = matrix.combined((1, matrix.identity(nodes)), (-1, matrix.symmetric_normalised(a)))
+        largest = matrix.largest_eigenvalue(stored(lap, "laplacian"), nodes, 60) or 2.0
+    scaled = stored(matrix.scaled_laplacian(a, nodes, largest), "scaled")
     return _convolved(matrix.chebyshev(scaled, nodes, order), features, marks, classes, more)
 
 

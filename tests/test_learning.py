@@ -105,6 +105,22 @@ def test_graph_convolutions_learn_groups(groups, features, marks, kind):
     assert evaluate.masked_accuracy(rows).first()[0] > 0.8
 
 
+def test_chebyshev_terms_take_the_largest_eigenvalue(groups, features, marks, monkeypatch):
+    ids = [r["id"] for r in features.select("id").orderBy("id").collect()]
+    a = np.zeros((len(ids), len(ids)))
+    for r in groups.edges.collect():
+        a[ids.index(r["src"]), ids.index(r["dst"])] = r["weight"]
+    lap = np.eye(len(ids)) - a / np.sqrt(np.outer(a.sum(1), a.sum(1)))
+    seen = []
+    monkeypatch.setattr(networks, "_convolved", lambda terms, *rest: seen.extend(terms))
+    networks.gcn_chebyshev(groups.edges, features, marks, GROUPS, order=1)
+    got = np.zeros_like(lap)
+    for r in seen[1].collect():
+        got[ids.index(r["i"]), ids.index(r["j"])] = r["v"]
+    top = np.linalg.eigvalsh(lap).max()
+    assert top < 1.9 and np.allclose(got, 2 / top * lap - np.eye(len(ids)), atol=0.01)
+
+
 def test_dense_network_learns_features_and_stops_early(features, marks):
     found, net = networks.mlp(features, marks, GROUPS, dropout=0.0, epochs=15, rate=0.1)
     assert net.history[-1]["loss"] < net.history[0]["loss"]
