@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import dedup, mixing, neardup, packing, quality, tokens, workspace
+from graphloom.operators.skew import join_totals
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,8 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = neardup.join(numbered.select(F.col("_row").alias("doc_id"), "text")).where("links > 0")
     members = workspace.keep(found.select(F.col("doc_id").alias("_row"), "class_id").join(numbered.select("_row", "doc_id"), "_row"), "pipeline-near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row"))
-    classes = members.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    gone = workspace.join_totals(members, classes, "class_id", "n", members.count()).where("_row <> first._row")
+    classes = workspace.keep(members.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "pipeline-classes")
+    gone = workspace.keep(join_totals(members, classes, ["class_id"], "n", members.count()).where("_row <> first._row").select("_row"), "pipeline-gone")
     return workspace.without(numbered, gone, "_row").select(*COLUMNS)
 
 

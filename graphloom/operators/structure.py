@@ -6,31 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import lcg
+from graphloom.operators import skew
 from graphloom.operators.graph import canonical
 from graphloom.plans.storage import stored
 
 
-def _settled(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, component): component is its least node.  Alternates large and small stars, so rounds grow with log n."""
-    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "stars")
-    mark = _settled(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        mark, before = _settled(now), mark
-        if mark == before:
-            break
-    found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    found = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+    """(id, component) for every node of the edges and of ``nodes``; component is its least node."""
+    found = skew.components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("component"))
     if nodes is None:
         nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import numeric as N
 from graphloom.operators import embed, evaluate, graph, matrix, networks, sampling, structure, text
 from graphloom.operators.graph import PropertyGraph
-from graphloom.plans.storage import shared_folder, stored
+from graphloom.plans.storage import folder as storage_folder
+from graphloom.plans.storage import stored
 from graphloom.sources import graph_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,26 +568,22 @@ def tfidf(spark, folder):
 
 @query("select vec_id::varchar as id, k, x from (select vec_id, unnest(range(len(embedding)))::int as k, unnest(list_transform(embedding, lambda y: round(y::double, 6) + 0.0)) as x from embeddings)")
 def vectors_text_roundtrip(spark, folder):
-    path = _scratch(spark, "vectors")
+    path = storage_folder(spark, "vectors")
     rows = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: N.r6(x.cast("double"))).alias("vec"))
     graph_files.write_vectors(rows, path)
     return graph_files.read_vectors(spark, path).select("id", F.posexplode("vec").alias("k", "x"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"with {NEAR} select src::varchar as src, dst::varchar as dst, w as weight from near")
 def adjlist_roundtrip(spark, folder):
-    path = _scratch(spark, "adjlist")
+    path = storage_folder(spark, "adjlist")
     graph_files.write_adjlist(near(spark, folder), path)
     return graph_files.read_adjlist(spark, path).edges
 
 
 @query(f"with {TRADE} select src::varchar as src, dst::varchar as dst, w as weight from trade")
 def edgelist_roundtrip(spark, folder):
-    path = _scratch(spark, "edgelist")
+    path = storage_folder(spark, "edgelist")
     graph_files.write_edgelist(trade(spark, folder), path)
     return graph_files.read_edgelist(spark, path, weighted=True, directed=True).edges
 

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import embed, evaluate, graph, matrix, sampling, structure
+from graphloom.operators import embed, evaluate, graph, matrix, sampling, skew, structure
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans import graph_queries
 from graphloom.sources import graph_files
@@ -96,9 +96,9 @@ def test_sinks_end_walks(spark):
 def test_second_order_walks_follow_arcs(spark, cliques):
     arcs = {(r.src, r.dst) for r in cliques.collect()}
     walks = {}
-    for start, step, node in sampling.biased_walks(cliques, 6, 0.5, 2.0).collect():
-        walks.setdefault(start, {})[step] = node
-    assert all(len(w) == 6 and all((w[k], w[k + 1]) in arcs for k in range(5)) for w in walks.values())
+    for walk, start, step, node in sampling.biased_walks(cliques, 6, 0.5, 2.0, walks=2).collect():
+        walks.setdefault((walk, start), {})[step] = node
+    assert len(walks) == 20 and all(len(w) == 6 and all((w[k], w[k + 1]) in arcs for k in range(5)) for w in walks.values())
 
 
 def test_alias_table_has_the_distribution():
@@ -156,3 +156,8 @@ def test_shared_orders_take_every_line(spark):
     assert {(r.u, r.v) for r in graph_queries.edge_split(spark, DATA).where("label = 1").collect()} == set(want)
     sample = graph_queries.edge_sample(spark, DATA).collect()
     assert len(sample) == len(set(sample)) == min(500, len(want)) and all(want[r.u, r.v] == r.weight for r in sample)
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, None)], "u long, v long")
+    assert {(r["node"], r["root"]) for r in skew.components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
