@@ -5,11 +5,13 @@
 2. Band and row counts are the cheapest that find a pair at the threshold with the target
    recall.  Bands are shuffled as hashes; each bucket links its members to its least one, so
    a bucket of m members costs m links, and the links' components are the candidate groups.
-3. Every candidate group is verified whole on the full n-gram sets.  A group of more than
-   ``TILE`` members is cut into tiles by a hash and each pair of tiles is a task of its own, so
-   no task ever holds a whole large group.  A task counts the true links of its documents and
-   returns one forest edge for each, not the pairs themselves.
-4. Components of the forest edges are the final classes.
+3. A candidate group of at most ``TILE`` members is verified whole, on the full n-gram sets, and
+   so settled at once.  A larger one is verified bucket by bucket or whole, whichever copies fewer
+   sets: a chain of many small buckets costs each set its buckets, not the length of the chain.
+   A pair that shares several buckets counts in the first.  Buckets and groups of more than ``TILE``
+   members are cut into tiles by a hash, each pair of tiles being a piece of work of its own.
+   A task counts the true links of its documents and returns one forest edge for each, not the pairs.
+4. Forest edges of the larger groups are joined to classes by their components.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import components, words, workspace
+from graphloom.llm import words, workspace
+from graphloom.operators.skew import components, join_totals
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members of a tile, n-grams of a tile, and columns of a block of the product of two tiles.
@@ -169,31 +172,79 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
+def _earlier(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Which rows of the band matrices meet in a band before ``band``."""
+    out = np.zeros((len(a), len(b)), bool)
+    for k in range(band):
+        out |= a[:, k, None] == b[None, :, k]
+    return out
+
+
 def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
-    """node, parent, links for rows (root, i, j, side, node, copies, set) sorted by (root, i, j, side, node)."""
+    """node, parent, links, class_id for rows sorted by all but the last four of (spot, band, i, j, side, node, rep, copies, whole, set, bands).
+
+    band: the bucket's band, or -1 for a candidate group.  class_id is null unless the tile holds a whole group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            i, j = group[0][1:3]
-            a = [r for r in group if r[3] == 0]
-            b = None if i == j else [r for r in group if r[3] == 1]
+        for group in _groups(batches, 4):
+            _, band, i, j = group[0][:4]
+            a = [r for r in group if r[4] == 0]
+            b = None if i == j else [r for r in group if r[4] == 1]
             if not a or (b is None and len(a) < 2) or (b is not None and not b):
                 continue
-            sets = lambda rows: [np.frombuffer(r[6], np.uint64) for r in rows]
+            sets = lambda rows: [np.frombuffer(r[9], np.uint64) for r in rows]
             links = links_of(sets(a), None if b is None else sets(b), threshold)
             other = a if b is None else b
-            ids, ids_b = np.array([r[4] for r in a]), np.array([r[4] for r in other])
-            count = dict(zip(ids.tolist(), (links @ np.array([r[5] for r in other], np.int64)).tolist()))
+            if band > 0:
+                marks = lambda rows: np.array([r[10] for r in rows], np.int64)
+                links &= ~_earlier(marks(a), marks(other), band)
+            ids, ids_b = np.array([r[5] for r in a]), np.array([r[5] for r in other])
+            count = dict(zip(ids.tolist(), (links @ np.array([r[7] for r in other], np.int64)).tolist()))
             if b is not None:
-                count |= dict(zip(ids_b.tolist(), (np.array([r[5] for r in a], np.int64) @ links).tolist()))
+                count |= dict(zip(ids_b.tolist(), (np.array([r[7] for r in a], np.int64) @ links).tolist()))
             parents = _forest(links, ids, ids_b)
             nodes = sorted(parents)
             if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array([parents[x] for x in nodes], pa.int64()), pa.array([count[x] for x in nodes], pa.int64())], ["node", "parent", "links"]
-                )
-
-    return tiles.mapInArrow(run, "node long, parent long, links long")
+                least: dict[int, int] = {}
+                if group[0][8]:
+                    for r in a:
+                        if r[5] in parents:
+                            root = parents[r[5]]
+                            least[root] = min(least.get(root, r[6]), r[6])
+                columns = [nodes, [parents[x] for x in nodes], [count[x] for x in nodes], [least.get(parents[x]) for x in nodes]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "parent", "links", "class_id"])
+
+    return tiles.mapInArrow(run, "node long, parent long, links long, class_id long")
+
+
+def _pieces(members: str, grams: str) -> Column:
+    """Tiles of a group of so many members and n-grams."""
+    return F.greatest(F.ceil(F.col(members) / TILE), F.ceil(F.col(grams) / TILE_GRAMS)).cast("int")
+
+
+def _spots(classes: DataFrame, buckets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """node and its places of verification, an array of (spot, band, tiles): its candidate group, or its buckets of at least two members."""
+    members = workspace.keep(candidates.join(classes.select("node", "grams"), "node"), "neardup-members")
+    sized = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
+    sizes = workspace.keep(sized.withColumn("tiles", _pieces("m", "g")), "neardup-sizes")
+    placed = join_totals(members, sizes, ["root"], "m", members.count())
+    large = sizes.where("tiles > 1")
+    by_group = F.array(F.struct(F.col("root").alias("spot"), F.lit(-1).alias("band"), "tiles"))
+    if large.isEmpty():
+        return placed.select("node", by_group.alias("spots"))
+    inside = placed.where("tiles > 1").select("node", "root", "grams")
+    met = workspace.keep(buckets.join(inside, "node"), "neardup-met")
+    filled = met.groupBy("bucket").agg(F.first("root").alias("root"), F.first("band").alias("band"), F.count(F.lit(1)).alias("bm"), F.sum("grams").alias("bg")).where("bm > 1")
+    filled = workspace.keep(filled.withColumn("btiles", _pieces("bm", "bg")), "neardup-filled")
+    costs = filled.groupBy("root").agg(F.sum(F.col("bm") * F.col("btiles")).alias("cost"))
+    choice = workspace.keep(large.join(costs, "root", "left").select("root", "m", "tiles", (F.col("cost") < F.col("m") * F.col("tiles")).alias("split")), "neardup-choice")
+    apart = join_totals(met.select("node", "root", "bucket"), choice.where("split").select("root", "m"), ["root"], "m", met.count()).select("node", "bucket")
+    spread = join_totals(apart, filled.select("bucket", "band", "bm", "btiles"), ["bucket"], "bm", met.count())
+    spread = spread.groupBy("node").agg(F.collect_list(F.struct(F.col("bucket").alias("spot"), "band", F.col("btiles").alias("tiles"))).alias("spots"))  # at most one for each band
+    whole = sizes.join(choice.where("split").select("root"), "root", "left_anti")
+    whole = join_totals(members.select("node", "root"), workspace.keep(whole, "neardup-whole"), ["root"], "m", members.count())
+    return whole.select("node", by_group.alias("spots")).unionByName(spread)
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -214,38 +265,42 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     sets_of = useful.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     # a number for each set, fixed by writing it, since two sets of one id may have the same rep
     classes = workspace.keep(sets_of.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
-    buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    roots = buckets.groupBy("bucket").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    stars = buckets.join(roots, "bucket").where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    candidates = components.components(stars, "neardup-candidates")
-
-    members = candidates.join(classes.select("node", "rep", "k1", "k2", "copies", "grams"), "node")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
-    tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("g") / TILE_GRAMS)).cast("int")
-    placed = members.join(sizes.select("root", tiles.alias("tiles")), "root")
-    placed = workspace.keep(
-        placed.select("root", "node", "rep", "k1", "k2", "copies", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")), "neardup-members"
-    )
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    roots = workspace.keep(buckets.groupBy("bucket").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("m")).where("m > 1"), "neardup-buckets")
+    stars = join_totals(buckets.select("node", "bucket"), roots, ["bucket"], "m", classes.count() * bands).where("node <> root")
+    candidates = components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")), "neardup-candidates")
+
+    spots = _spots(classes, buckets, candidates)
+    placed = workspace.keep(spots.join(classes.select("node", "rep", "k1", "k2", "copies", "bands"), "node"), "neardup-placed")
     # Texts of candidates only: a prefilter of bounded size, then an exact join on the id.
     ids = placed.select(F.col("rep").alias("doc_id"))
     found = workspace.prefilter(docs.select("doc_id", "text"), ids, "doc_id")
     texts = found.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = _sets(texts, n).groupBy("rep", "k1", "k2").agg(F.first("set").alias("set"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"), (F.col("tile") > t).cast("int").alias("side")))
-    known = placed.join(sets, ["rep", "k1", "k2"])
-    spread = known.select("root", "node", "copies", "set", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "node", "copies", "set")
-    dealt = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
+    tile = F.pmod(F.xxhash64("node"), F.col("s.tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("s.tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"), (F.col("tile") > t).cast("int").alias("side")))
+    known = placed.join(sets, ["rep", "k1", "k2"]).withColumn("s", F.explode("spots")).withColumn("tile", tile)
+    marks = F.when(F.col("s.band") > 0, F.col("bands"))
+    whole = (F.col("s.band") < 0) & (F.col("s.tiles") == 1)
+    spread = known.select("s", "node", "rep", "copies", whole.alias("whole"), "set", marks.alias("bands"), F.explode(pairs).alias("p"))
+    spread = spread.select("s.spot", "s.band", "p.i", "p.j", "p.side", "node", "rep", "copies", "whole", "set", "bands")
+    dealt = spread.repartition("spot", "band", "i", "j").sortWithinPartitions("spot", "band", "i", "j", "side", "node")
     verified = workspace.keep(_verify(dealt, threshold), "neardup-links")
 
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    final = components.components(verified.select(F.col("node").alias("u"), F.col("parent").alias("v")), "neardup-classes-of")
-    linked = workspace.keep(final.join(classes.select("node", "rep"), "node"), "neardup-linked")
-    least = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    named = workspace.join_totals(linked, least, "root", "n", linked.count()).select("node", "class_id")
-    told = classes.select("node", "k1", "k2", "rep", "copies").join(links, "node", "left").join(named, "node", "left")
-    told = told.select("k1", "k2", "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
+    linked = verified.where("class_id is not null").select("node", "class_id", "links")
+    open_ = verified.where("class_id is null")
+    if not open_.isEmpty():
+        final = components(open_.select(F.col("node").alias("u"), F.col("parent").alias("v")), "neardup-classes-of")
+        named = workspace.keep(final.join(classes.select("node", "rep"), "node"), "neardup-named")
+        least = workspace.keep(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-least")
+        named = join_totals(named, least, ["root"], "n", named.count()).select("node", "class_id")
+        linked = linked.unionByName(named.join(open_.groupBy("node").agg(F.sum("links").alias("links")), "node"))
+    told = classes.select("node", "k1", "k2", "rep", "copies").join(linked, "node", "left")
+    told = told.select("k1", "k2", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
+    told = workspace.keep(told, "neardup-told")
     plain = signed.where("grams = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.col("doc_id").alias("representative"))
-    return useful.select("doc_id", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "class_id", "links", F.col("rep").alias("representative")).unionByName(plain)
+    rows = join_totals(useful.select("doc_id", "k1", "k2"), told, ["k1", "k2"], "copies", useful.count())
+    return rows.select("doc_id", "class_id", "links", F.col("rep").alias("representative")).unionByName(plain)
 
 
 workspace.ship("graphloom.llm.words", __name__)

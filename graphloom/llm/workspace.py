@@ -1,26 +1,21 @@
-"""Where operators keep tables and files that several executors must see.
-
-Everything goes under ``spark.checkpoint.dir``, the folder the cluster shares.
-Only where that setting is missing, as in tests, a folder of this machine is used.
-"""
+"""What the operators of this package share: tables kept in the shared folder, and filters of bounded size."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folders handed out in this process, for ``cleanup``.
-_ISSUED: list[str] = []
+from graphloom.plans.storage import cleanup, folder, issued
+from graphloom.plans.storage import stored as keep
+
+__all__ = ["cleanup", "folder", "issued", "keep", "prefilter", "ship", "slot", "without"]
+
 #: Keys of ``prefilter`` fall into this many slots, so what it broadcasts is at most
 #: this many integers (8 MB), whatever the size of the data.
 PREFILTER_SLOTS = 1 << 20
-#: ``join_totals`` takes a key for hot from this part of all rows on.
-HOT_SHARE = 256
 
 
 def ship(*modules: str) -> None:
@@ -29,38 +24,6 @@ def ship(*modules: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is created there yet."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _ISSUED.append(path)
-    return path
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: this cuts its
-    lineage, and a lost executor costs no more than rereading a file."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete every table and file that ``folder`` handed out in this process."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _ISSUED:
-        path = jvm.org.apache.hadoop.fs.Path(_ISSUED.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PREFILTER_SLOTS)).cast("int")
 
@@ -80,18 +43,6 @@ def prefilter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     )
 
 
-def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` joined with ``totals``, which has one row for each key and, in ``count``, how many rows the key has.
-
-    Rows of keys that hold over 1/``HOT_SHARE`` of ``total`` rows are never shuffled: there are fewer
-    than ``HOT_SHARE`` such keys whatever the data, so their totals are broadcast.  Null keys go.
-    """
-    bar = total // HOT_SHARE
-    hot = F.broadcast(totals.where(F.col(count) > bar))
-    cold = rows.join(hot.select(key), key, "left_anti").join(totals.where(F.col(count) <= bar), key)
-    return rows.join(hot, key).unionByName(cold)
-
-
 def without(rows: DataFrame, gone: DataFrame, key: str, *also: str) -> DataFrame:
     """Rows not in ``gone``, compared by ``key`` and the columns ``also``, nulls being equal there.
 

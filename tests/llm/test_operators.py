@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import chat, components, dedup, licences, mixing, neardup, packing, pii, planes, quality, queries, search, tokens, words, workspace
+from graphloom.llm import chat, dedup, licences, mixing, neardup, packing, pii, planes, quality, queries, search, tokens, words, workspace
 from tests.conftest import DATA
 from tests.test_queries import TABLES, canonical
 
@@ -270,13 +270,25 @@ def test_near_duplicates_of_one_id_with_two_texts(spark):
     assert found == [(1, 1, 2, 1), (5, 1, 2, 5), (5, 5, 0, 5), (5, 5, 2, 5), (6, 5, 2, 6), (7, 5, 2, 7), (8, 1, 2, 5)]
 
 
-def test_near_duplicates_of_nothing(none):
-    assert neardup.join(none).count() == 0
+@pytest.mark.parametrize("tile", [768, 4])
+def test_near_duplicates_along_a_chain(spark, tile, monkeypatch):
+    """Neighbours are similar, others not: the group is verified bucket by bucket where tiles are small."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    told, spots = [], neardup._spots
+    monkeypatch.setattr(neardup, "_spots", lambda *a: told.append(spots(*a)) or told[-1])
+    run, group = prose(700).split(), prose(90).split()
+    texts = [run[8 * k : 8 * k + 104] for k in range(70)] + [[*group[:k], f"y{k}", *group[k + 1 :]] for k in range(0, 60, 6)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in rows]
+    linked = {(a, b) for a in range(80) for b in range(80) if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = neardup.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in found} == {(k, 0 if k < 70 else 70) for k in range(80)}
+    assert all(r["links"] == sum(a == r["doc_id"] for a, _ in linked) for r in found)
+    assert any(s["band"] >= 0 for r in told[0].collect() for s in r["spots"]) == (tile == 4)
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, None)], "u long, v long")
-    assert {(r["node"], r["root"]) for r in components.components(edges, "test").collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
+def test_near_duplicates_of_nothing(none):
+    assert neardup.join(none).count() == 0
 
 
 def luhn(s):
