@@ -28,7 +28,7 @@ from graphloom.operators.skew import components, join_totals
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members of a tile, n-grams of a tile, and columns of a block of the product of two tiles.
-TILE, TILE_GRAMS, COLUMNS = 768, 2_000_000, 4096
+TILE, TILE_GRAMS, COLUMNS = 256, 1_000_000, 4096
 SEED = 20_240_501
 
 
@@ -172,18 +172,28 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _earlier(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
-    """Which rows of the band matrices meet in a band before ``band``."""
+def _earlier(a: list, b: list, band: int) -> np.ndarray:
+    """Which pairs of a and b, lists of each set's buckets (spot, band, ...) of at least two members, meet in a band before ``band``."""
+    tables = []
+    for rows in (a, b):
+        spot, there = np.zeros((len(rows), band), np.int64), np.zeros((len(rows), band), bool)
+        for r, met in enumerate(rows):
+            for one in met:
+                if one["band"] < band:
+                    spot[r, one["band"]], there[r, one["band"]] = one["spot"], True
+        tables.append((spot, there))
+    (x, in_a), (y, in_b) = tables
     out = np.zeros((len(a), len(b)), bool)
     for k in range(band):
-        out |= a[:, k, None] == b[None, :, k]
+        out |= (x[:, k, None] == y[None, :, k]) & in_a[:, k, None] & in_b[None, :, k]
     return out
 
 
 def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
-    """node, parent, links, class_id for rows sorted by all but the last four of (spot, band, i, j, side, node, rep, copies, whole, set, bands).
+    """node, parent, links, class_id for rows (spot, band, i, j, side, node, rep, copies, whole, set, met) sorted by the first six.
 
-    band: the bucket's band, or -1 for a candidate group.  class_id is null unless the tile holds a whole group.
+    band: the bucket's band, or -1 for a candidate group.  met: the set's other buckets, for the later bands.
+    class_id is null unless the tile holds a whole group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +207,7 @@ def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
             links = links_of(sets(a), None if b is None else sets(b), threshold)
             other = a if b is None else b
             if band > 0:
-                marks = lambda rows: np.array([r[10] for r in rows], np.int64)
-                links &= ~_earlier(marks(a), marks(other), band)
+                links &= ~_earlier([r[10] for r in a], [r[10] for r in other], band)
             ids, ids_b = np.array([r[5] for r in a]), np.array([r[5] for r in other])
             count = dict(zip(ids.tolist(), (links @ np.array([r[7] for r in other], np.int64)).tolist()))
             if b is not None:
@@ -271,7 +280,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     candidates = components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")), "neardup-candidates")
 
     spots = _spots(classes, buckets, candidates)
-    placed = workspace.keep(spots.join(classes.select("node", "rep", "k1", "k2", "copies", "bands"), "node"), "neardup-placed")
+    placed = workspace.keep(spots.join(classes.select("node", "rep", "k1", "k2", "copies"), "node"), "neardup-placed")
     # Texts of candidates only: a prefilter of bounded size, then an exact join on the id.
     ids = placed.select(F.col("rep").alias("doc_id"))
     found = workspace.prefilter(docs.select("doc_id", "text"), ids, "doc_id")
@@ -280,11 +289,15 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     tile = F.pmod(F.xxhash64("node"), F.col("s.tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("s.tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"), (F.col("tile") > t).cast("int").alias("side")))
     known = placed.join(sets, ["rep", "k1", "k2"]).withColumn("s", F.explode("spots")).withColumn("tile", tile)
-    marks = F.when(F.col("s.band") > 0, F.col("bands"))
     whole = (F.col("s.band") < 0) & (F.col("s.tiles") == 1)
-    spread = known.select("s", "node", "rep", "copies", whole.alias("whole"), "set", marks.alias("bands"), F.explode(pairs).alias("p"))
-    spread = spread.select("s.spot", "s.band", "p.i", "p.j", "p.side", "node", "rep", "copies", "whole", "set", "bands")
-    dealt = spread.repartition("spot", "band", "i", "j").sortWithinPartitions("spot", "band", "i", "j", "side", "node")
+    met = F.when(F.col("s.band") > 0, F.col("spots"))
+    spread = known.select("s", "node", "rep", "copies", whole.alias("whole"), "set", met.alias("met"), F.explode(pairs).alias("p"))
+    # the pairs of tiles of one spot go to tasks in turn, so that a large spot fills all of them alike
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = (F.col("p.j") * (F.col("p.j") + 1) / 2).cast("long") + F.col("p.i")
+    place = F.pmod(F.xxhash64("s.spot", "s.band") + turn, F.lit(parts)).cast("int")
+    spread = spread.select("s.spot", "s.band", "p.i", "p.j", "p.side", "node", "rep", "copies", "whole", "set", "met", place.alias("place"))
+    dealt = spread.repartitionById(parts, "place").drop("place").sortWithinPartitions("spot", "band", "i", "j", "side", "node")
     verified = workspace.keep(_verify(dealt, threshold), "neardup-links")
 
     linked = verified.where("class_id is not null").select("node", "class_id", "links")
