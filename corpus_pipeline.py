@@ -46,10 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("copies > 0").select("doc_id", "source", "copies").distinct().alias("m")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source"))
-    joined = docs.select(*COLUMNS).alias("d").join(mixed, same).select("d.*", "copies")
-    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.emit(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        before = workspace.issued()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = workspace.keep(docs, f"pipeline-{k + 1}")
+            workspace.cleanup(spark, before, but=workspace.latest())  # what the stage wrote on the way
     return docs

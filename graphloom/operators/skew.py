@@ -9,15 +9,28 @@ from graphloom.plans.storage import stored
 
 #: A key is hot from this part of all rows on.
 HOT_SHARE = 256
+#: Tables of at most this many bytes, as counted by ``_size``, are broadcast whole.
+BROADCAST_BYTES = 4 << 20
+
+
+def _size(table: DataFrame) -> int:
+    """16 bytes for each value and those of strings."""
+    texts = [F.octet_length(f.name) for f in table.schema.fields if f.dataType.typeName() == "string"]
+    long = sum((F.coalesce(F.sum(t), F.lit(0)) for t in texts), F.lit(0)).alias("b")
+    row = table.agg(F.count(F.lit(1)).alias("n"), long).first()
+    return 16 * len(table.columns) * row["n"] + int(row["b"])
 
 
 def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """``rows`` joined with ``totals``, which has one row for each key and, in ``count``, how many rows the key has.
 
-    Rows of keys that hold over 1/``HOT_SHARE`` of ``total`` rows stay in their tasks: there are fewer
-    than ``HOT_SHARE`` such keys whatever the data, so their totals are broadcast.  Null keys go.
-    Give ``totals`` as a stored table, for it is read twice.
+    ``totals`` is measured, and broadcast where it is small.  Else rows of keys that hold over
+    1/``HOT_SHARE`` of ``total`` rows stay in their tasks: there are fewer than ``HOT_SHARE`` such keys
+    whatever the data, so their totals are broadcast.  Null keys go.  Give ``totals`` as a stored
+    table of numbers and strings, for it is read several times.
     """
+    if _size(totals) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(totals), keys)
     bar = total // HOT_SHARE
     marked = rows.join(F.broadcast(totals.where(F.col(count) > bar)), keys, "left")
     cold = marked.where(F.col(count).isNull()).select(*rows.columns)

@@ -50,6 +50,11 @@ def issued() -> int:
     return len(_ISSUED)
 
 
+def latest() -> tuple[str, ...]:
+    """The path handed out last, if any."""
+    return tuple(_ISSUED[-1:])
+
+
 def cleanup(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
     """Delete what was handed out in this process after ``since``, except paths that ``but`` names."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
