@@ -8,10 +8,12 @@ constants the one whose total comes nearest the target, found in one partial agg
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import workspace
+from graphloom.operators.graph import numbered
+from graphloom.operators.skew import join_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -24,30 +26,61 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
 
 
+def key(source: Column) -> Column:
+    """The source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
-    """source, source_size, weight, target from (source, source_size): one row for each source.
+    """The columns of ``sizes`` (source, source_size, ...; one row for each source), weight and target.
 
     The share is given out by weight; a source stops at ``cap`` times its size and what it can't
     take goes to the others by weight until none is above.  That end point is a common level
-    times the weight, cut at the cap; sources reach their caps in the order of cap / weight, so
-    one pass over the sources in that order finds it.
+    times the weight, cut at the cap.  The level only rises from round to round, as more sources
+    reach their caps; each round is one partial aggregation over the sources.
     """
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    full = Window.orderBy("_level", F.col("source").asc_nulls_last())
-    upto, beyond = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing)
-    filled = (
-        sizes.withColumn("weight", weight)
-        .withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
-        .withColumn("_level", F.col("_cap") / F.col("weight"))
-        .withColumn("_total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        # the level if this source and all that follow stay below their caps
-        .withColumn("_try", (F.col("_total") - F.coalesce(F.sum("_cap").over(upto), F.lit(0.0))) / F.sum("weight").over(beyond))
-        .withColumn("_common", F.max(F.when(F.col("_try") <= F.col("_level"), F.col("_try"))).over(everything))
+    numbered_ = numbered(sizes, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("idx") % len(weights) + 1).cast("int"))
+    book = workspace.keep(numbered_.withColumn("weight", weight).withColumn("_cap", F.col("source_size") * F.lit(float(cap))).drop("idx"), "mix-weights")
+    total = float(book.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level = 0.0
+    while True:
+        full = F.col("_cap") < F.col("weight") * level
+        row = book.agg(F.sum(F.when(full, F.col("_cap"))).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not row["open"]:
+            target = F.col("_cap")
+            break
+        risen = (total - (row["taken"] or 0.0)) / row["open"]
+        target = F.least("_cap", F.col("weight") * F.lit(risen))
+        if risen <= level:
+            break
+        level = risen
+    return book.withColumn("target", target).drop("_cap")
+
+
+def _copied(turn: Column) -> Column:
+    """The drawn copy of a document, 0 or 1, with the draw rotated by ``turn``."""
+    return F.when((F.col("_draw") + turn * (SPACE // ROTATIONS)) % SPACE < F.col("_part"), 1).otherwise(0)
+
+
+def rates(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
+    """_key, _rows, source_size, target, _whole, _part, _turn of each source, for rows (_key, source, size, _draw); a stored table."""
+    sizes = workspace.keep(sized.groupBy("_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), "mix-sources")
+    goal = targets(sizes, share, cap, weights)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_part", F.floor((rate - F.floor(rate)) * SPACE).cast("long"))
+    goal = workspace.keep(goal.select("_key", "_rows", "source_size", "target", "_whole", "_part"), "mix-goal")
+    sums = join_totals(sized.select("_key", "size", "_draw"), goal, ["_key"], "_rows", sized.count()).groupBy("_key").agg(
+        *[F.sum(F.col("size") * (F.col("_whole") + _copied(F.lit(k).cast("long")))).alias(f"t{k}") for k in range(ROTATIONS)]
     )
-    target = F.least("_cap", F.coalesce(F.col("_common") * F.col("weight"), F.col("_cap")))
-    return filled.select("source", "source_size", "weight", target.alias("target"))
+    misses = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("turn")) for k in range(ROTATIONS)])
+    best = sums.join(goal, "_key").select(*goal.columns, F.array_min(misses)["turn"].cast("long").alias("_turn"))
+    return workspace.keep(best, "mix-rates")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    return workspace.keep(docs.select("doc_id", "source", size.alias("size")), "mix-sizes").select("*", key(F.col("source")).alias("_key"), draw(F.col("doc_id")).alias("_draw"))
 
 
 def mix(
@@ -59,34 +92,24 @@ def mix(
     of its own, the last.  Rows of the same id share their draw; sizes of 0 take 0; an empty table
     gives no rows.  ``copies`` never exceeds ``cap`` rounded up; clashing extra columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = workspace.keep(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_part", F.floor((rate - F.floor(rate)) * SPACE).cast("long"))
-    same = F.col("s.source").eqNullSafe(F.col("g.source"))
-
-    def copied(turn: Column) -> Column:
-        return F.when((F.col("_draw") + turn * (SPACE // ROTATIONS)) % SPACE < F.col("_part"), 1).otherwise(0)
+    sized = _sized(docs)
+    found = join_totals(sized, rates(sized, share, cap, weights), ["_key"], "_rows", sized.count())
+    copies = (F.col("_whole") + _copied(F.col("_turn"))).cast("long")
+    return found.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
-    drawn = sized.withColumn("_draw", draw(F.col("doc_id")))
-    sums = (
-        drawn.alias("s").join(goal.alias("g"), same)
-        .groupBy(F.col("g.source").alias("source"))
-        .agg(*[F.sum(F.col("size") * (F.col("_whole") + copied(F.lit(k).cast("long")))).alias(f"t{k}") for k in range(ROTATIONS)])
-    )
-    best = sums.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
-    misses = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("turn")) for k in range(ROTATIONS)])
-    best = best.select("g.*", F.array_min(misses)["turn"].cast("long").alias("_turn"))
-    copies = (F.col("_whole") + copied(F.col("_turn"))).cast("long")
-    return drawn.alias("s").join(best.alias("g"), same).select(
-        "doc_id", "s.source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
-    )
 
+def emit(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it.
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    How often is computed beside each row from its id and its source's rate, so texts stay in their
+    tasks unless the sources are too many to broadcast.
+    """
+    sized = _sized(docs)
+    book = rates(sized, share, cap, weights).select("_key", "_rows", "_whole", "_part", "_turn")
+    keyed = docs.select("*", key(F.col("source")).alias("_key"), draw(F.col("doc_id")).alias("_draw"))
+    copies = (F.col("_whole") + _copied(F.col("_turn"))).cast("int")
+    found = join_totals(keyed, book, ["_key"], "_rows", sized.count()).select(*docs.columns, copies.alias("_copies")).where("_copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def oracle(share: float = 1.5, cap: float = 2.0) -> str:

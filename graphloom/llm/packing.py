@@ -238,7 +238,8 @@ def place(pieces: DataFrame, capacity: int, groups: int = 24, small: int = 8) ->
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kept = [c for c in pieces.columns if c not in ("part", "seat")]
-    ranked = pieces.join(base, ["part", "length"]).select(*kept, (F.col("_base") + F.col("seat")).alias("_rank"))
+    # counts by partition and length grow with the table, so they must not be broadcast
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select(*kept, (F.col("_base") + F.col("seat")).alias("_rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*[c for c in kept if c != "length"]).schema) + ", length long, sequence_id long"
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return ranked.mapInArrow(look_up, schema).select(

@@ -8,10 +8,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.storage import cleanup, folder, issued
+from graphloom.plans.storage import cleanup, folder, issued, latest
 from graphloom.plans.storage import stored as keep
 
-__all__ = ["cleanup", "folder", "issued", "keep", "prefilter", "ship", "slot", "without"]
+__all__ = ["cleanup", "folder", "issued", "keep", "latest", "prefilter", "ship", "slot", "without"]
 
 #: Keys of ``prefilter`` fall into this many slots, so what it broadcasts is at most
 #: this many integers (8 MB), whatever the size of the data.
