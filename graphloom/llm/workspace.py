@@ -8,14 +8,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.storage import cleanup, folder, issued, latest
-from graphloom.plans.storage import stored as keep
+from graphloom.plans.storage import cleanup, folder, issued, latest, stored
 
 __all__ = ["cleanup", "folder", "issued", "keep", "latest", "prefilter", "ship", "slot", "without"]
 
 #: Keys of ``prefilter`` fall into this many slots, so what it broadcasts is at most
 #: this many integers (8 MB), whatever the size of the data.
 PREFILTER_SLOTS = 1 << 20
+#: Rows of an Arrow batch: whole texts go through Python workers, several of them beside each executor's heap.
+BATCH_ROWS = 2048
 
 
 def ship(*modules: str) -> None:
@@ -24,6 +25,17 @@ def ship(*modules: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, with Arrow batches of at most ``BATCH_ROWS`` rows while it is written."""
+    conf, option = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(option)
+    conf.set(option, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(option, before)
+
+
 def slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PREFILTER_SLOTS)).cast("int")
 
