@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Bytes handled at once.  A longer document is cut between words, so memory stays
 #: bounded by this (or by the longest single word).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
