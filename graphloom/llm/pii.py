@@ -1,12 +1,17 @@
 """Format-preserving pseudonyms of personal numbers and dates, with DataFrame operations only.
 
 Candidates are found by one pattern and validated; each is then permuted within its own format
-by a keyed Feistel network: digits stay digits, separators stay, card numbers keep a right
-check digit, addresses stay addresses and dates stay dates.  A permutation maps equal values
+by a keyed Feistel network: digits stay digits, separators stay, card numbers keep a right check
+digit, social security numbers stay assignable, telephone numbers keep their country and a
+possible area, addresses stay addresses and dates stay dates.  A permutation maps equal values
 to equal pseudonyms and different ones to different ones, in all documents.
 
 The network works on Z_m x Z_n for any m and n: rounds add a keyed hash of one half to the
-other by turns, modulo that half's size, so no value leaves the format.
+other by turns, modulo that half's size.  Each format is numbered densely as such a product, so
+no value leaves it and none needs to be drawn again.
+
+The pattern is linear in the text: a run of characters is entered once, nothing in it is
+repeated without a bound but single characters, and those possessively.
 """
 
 from __future__ import annotations
@@ -18,12 +23,17 @@ ROUNDS = 10
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+#: A run before the @ is entered at its start, or where the last match ended; at most 126 labels of 63 characters follow.
+EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,126}}[A-Za-z]{{2,63}}"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DAY_DATE = r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?!\d)"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)"
+#: North American numbers, those with blanks only where area and exchange are possible, and +country numbers.
+_NATIONAL = r"(?<![\d+])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+] )(?<![\d+.\-])(?:\+?1 )?[2-9]\d{2} [2-9]\d{2} \d{4}(?! ?\d)"
+_ABROAD = r"(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)"
+PHONE = f"{_NATIONAL}|{_ABROAD}"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
 KINDS = {"email": EMAIL, "iso_date": ISO_DATE, "day_date": DAY_DATE, "address": ADDRESS, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -85,12 +95,50 @@ def _card(s: Column, key: str) -> Column:
     return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _refilled(s, F.concat(body, check.cast("string"))))
 
 
+def _social(s: Column, key: str) -> Column:
+    """Area 001-899 but 666, group 01-99 and serial 0001-9999 as 898 x 989,901 numbers; null for others."""
+    area, group, serial = (s.substr(at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    assigned = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    pair = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, F.lit("social"))
+    a = pair["a"] + F.when(pair["a"] >= 665, 2).otherwise(1)
+    b, c = F.floor(pair["b"] / 9999) + 1, pair["b"] % 9999 + 1
+    digits = F.concat(F.lpad(a.cast("string"), 3, "0"), F.lpad(b.cast("string"), 2, "0"), F.lpad(c.cast("string"), 4, "0"))
+    return F.when(assigned, _refilled(s, digits))
+
+
+def _national(digits: Column, key: str) -> Column:
+    """Ten digits as ten others.  Those of a possible area and exchange, 200-999 each, stay such; so do the two kinds of others."""
+    area, rest = digits.substr(1, 3).cast("long"), digits.substr(4, 7).cast("long")
+    low, odd = area < 200, rest < 2_000_000
+    base_a, base_b = F.when(low, 0).otherwise(200), F.when(low | odd, 0).otherwise(2_000_000)
+    m = F.when(low, 200).otherwise(800)
+    n = F.when(low, 10_000_000).when(odd, 2_000_000).otherwise(8_000_000)
+    kind = F.when(low, "phone:low").when(odd, "phone:odd").otherwise("phone")
+    pair = feistel(area - base_a, rest - base_b, m, n, key, kind)
+    return F.concat(F.lpad((pair["a"] + base_a).cast("string"), 3, "0"), F.lpad((pair["b"] + base_b).cast("string"), 7, "0"))
+
+
+def _phone(s: Column, key: str) -> Column:
+    """The country code stays; a national number is permuted as such with or without one."""
+    digits = _digits(s)
+    n = F.length(digits)
+    country = F.regexp_extract(s, r"^\+(\d+)", 1)
+    rest = digits.substr(F.length(country) + 1, n)
+    ten = digits.substr(n - 9, F.lit(10))
+    new = F.when(s.rlike(f"^(?:{_NATIONAL})$"), F.concat(digits.substr(F.lit(1), n - 10), _national(ten, key))).otherwise(F.concat(country, _permuted(rest, key, F.concat(F.lit("phone:"), country))))
+    return _refilled(s, new)
+
+
 def _date(s: Column, year: Column, month: Column, day: Column, key: str, shape: str) -> Column:
     when = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
     number = F.datediff(when, F.lit(FIRST_DAY).cast("date"))
     pair = feistel(F.floor(number / DAYS[1]), number % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, F.lit("date"))
     other = F.date_add(F.lit(FIRST_DAY).cast("date"), (pair["a"] * DAYS[1] + pair["b"]).cast("int"))
-    text = F.date_format(other, "yyyy-MM-dd") if shape == "iso" else F.concat(F.date_format(other, "dd"), s.substr(3, 1), F.date_format(other, "MM"), s.substr(6, 1), F.date_format(other, "yyyy"))
+    part = {"d": F.date_format(other, "dd"), "m": F.date_format(other, "MM")}
+    if shape == "iso":
+        text = F.date_format(other, "yyyy-MM-dd")
+    else:
+        text = F.concat(part[shape[0]], s.substr(3, 1), part[shape[1]], s.substr(6, 1), F.date_format(other, "yyyy"))
     return F.when((number >= 0) & (number < DAYS[0] * DAYS[1]), text)
 
 
@@ -102,10 +150,10 @@ def _address(s: Column, key: str) -> Column:
 
 
 def _email(s: Column, key: str) -> Column:
-    """Letters and digits of the local part are drawn anew from a keyed hash of the address; its shape stays.
+    """u, 12 hex digits of a keyed hash of the address in lower case, and the reserved domain example.invalid.
 
-    Addresses are no numbers, so this one is not a permutation; 12 hex digits make the
-    pseudonyms differ and the reserved domain makes them undeliverable.
+    Addresses are no numbers, so this is no permutation: two of n addresses get one pseudonym with
+    a chance of about n * n / 2**49.  The length and shape of the address do not stay.
     """
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(s)), 256), 1, 12), F.lit("@example.invalid"))
 
@@ -113,16 +161,14 @@ def _email(s: Column, key: str) -> Column:
 def pseudonym(s: Column, key: str) -> Column:
     """A struct of kind and value; kind is null and the value unchanged where ``s`` doesn't validate."""
     is_ = lambda kind: s.rlike(f"^(?:{KINDS[kind]})$")
-    area = s.substr(1, 3)
-    social = ~area.isin("000", "666") & (area < "900") & (s.substr(5, 2) != "00") & (s.substr(8, 4) != "0000")
-    phone = F.when(s.startswith("+1"), F.concat(F.lit("1"), _permuted(_digits(s.substr(F.lit(3), F.length(s))), key, F.lit("phone")))).otherwise(_permuted(_digits(s), key, F.lit("phone")))
+    year, one, two = s.substr(7, 4), s.substr(1, 2), s.substr(4, 2)
     found = [
         ("email", is_("email"), _email(s, key)),
         ("date", is_("iso_date"), _date(s, s.substr(1, 4), s.substr(6, 2), s.substr(9, 2), key, "iso")),
-        ("date", is_("day_date"), _date(s, s.substr(7, 4), s.substr(4, 2), s.substr(1, 2), key, "day")),
+        ("date", is_("day_date"), F.coalesce(_date(s, year, two, one, key, "dm"), _date(s, year, one, two, key, "md"))),
         ("address", is_("address"), _address(s, key)),
-        ("social", is_("social") & social, _refilled(s, _permuted(_digits(s), key, F.lit("social")))),
-        ("phone", is_("phone"), _refilled(s, phone)),
+        ("social", is_("social"), _social(s, key)),
+        ("phone", is_("phone"), _phone(s, key)),
         ("card", is_("card"), _card(s, key)),
     ]
     none = F.struct(F.lit(None).cast("string").alias("kind"), s.alias("value"))
@@ -133,13 +179,24 @@ def pseudonym(s: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "graphloom", column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the text with its personal numbers, dates and addresses replaced, and how many there were of each kind.
 
     Columns: ``column``, emails, dates, addresses, socials, phones, cards, pseudonyms (their sum).
-    Cards need a right check digit, dates a real day of 1900-2099, IPv4 parts below 256, social
-    security numbers an assigned area; what fails stays as it is.  A null text stays null with
-    counts of 0; other columns are dropped unless kept; every row gives a row, without a shuffle.
+    Whoever has ``key`` can undo the permutations; it stands in the query plan, so plans and event
+    logs must be kept like it.
+
+    Cards (13 to 19 digits, with blanks or hyphens) need a right check digit, dates (yyyy-mm-dd,
+    dd.mm.yyyy, dd/mm/yyyy, and mm/dd/yyyy where that is no day in the other order) a real day of
+    1900-2099, IPv4 parts below 256, social security numbers an assigned area, group and serial; what
+    fails stays as it is.  Telephone numbers: (555) 123-4567, 555-123-4567, 555.123.4567, each also
+    after 1 or +1, 555 123 4567 where area and exchange are possible, and +country with two to
+    five groups.  Not covered: numbers without separators, IPv6, names, postal addresses, dates in words or
+    with years of two digits.
+
+    Texts of any length are read whole, in time linear in it.  A null text stays null with counts of
+    0, an empty one empty; repeated rows give repeated rows; other columns are dropped unless kept;
+    every row gives a row, without a shuffle; an empty table gives none.
     """
     text = F.col(column)
     may = text.rlike("[0-9@]")

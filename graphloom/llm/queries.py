@@ -48,7 +48,8 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, folder, "documents"))
+    """The test tables are invented, so the key is no secret; set ``spark.graphloom.pseudonymKey`` elsewhere."""
+    return pii.pseudonymise(_table(spark, folder, "documents"), spark.conf.get("spark.graphloom.pseudonymKey", "public test key"))
 
 
 def licence_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """The operators against brute force on small tables with nulls, ties, repeats, empty and long texts."""
 
 import collections
+import datetime
 import functools
+import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import duckdb
@@ -298,7 +301,7 @@ def luhn(s):
 def test_pseudonyms_keep_formats_and_links(spark):
     texts = ["card 4111 1111 1111 1111, again 4111111111111111.", "born 1984-02-29 or 29.02.1984; not 2023-02-30", "ip 10.0.255.1 not 10.0.256.1", "+1 (982) 555-2127 and 078-05-1120", "mail a.b@mail1.example.com twice a.b@mail1.example.com", None, "", "number 4111111111111112 stays", "no numbers"]
     rows = [(k, t, 1) for k, t in enumerate(texts)]
-    found = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, cards int")).collect()}
+    found = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, cards int"), "k").collect()}
     one, two = re.findall(r"\d[\d ]{14,18}\d", found[0]["text"])
     assert one.replace(" ", "") == two and luhn(two) and two != "4111111111111111" and found[0]["cards"] == 2
     iso, day = re.findall(r"born (\S+) or (\S+);", found[1]["text"])[0]
@@ -316,6 +319,125 @@ def test_feistel_is_a_permutation(spark):
     assert {tuple(r) for r in made} == {(a, b) for a in range(6) for b in range(35)}
 
 
+def brute_pair(a, b, m, n, kind, key="k"):
+    draw = lambda turn, half: int(hashlib.sha256(f"{key}|{kind}|{turn}|{half}".encode()).hexdigest()[:15], 16)
+    for turn in range(1, pii.ROUNDS + 1):
+        if turn % 2:
+            a = (a + draw(turn, b)) % m
+        else:
+            b = (b + draw(turn, a)) % n
+    return a, b
+
+
+def brute_digits(d, kind):
+    u = len(d) // 2
+    a, b = brute_pair(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), f"{kind}:{len(d)}")
+    return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+
+def refill(shape, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in shape)
+
+
+def brute_date(y, m, d):
+    try:
+        number = (datetime.date(int(y), int(m), int(d)) - datetime.date(1900, 1, 1)).days
+    except ValueError:
+        return None
+    if not 0 <= number < 17 * 4297:
+        return None
+    a, b = brute_pair(*divmod(number, 4297), 17, 4297, "date")
+    return datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b)
+
+
+def brute_pseudonym(s):
+    """The pseudonym of one value of a known shape, by the written rules; the value itself where it isn't valid."""
+    digits = re.sub("[^0-9]", "", s)
+    if "@" in s:
+        return "u" + hashlib.sha256(f"k|email|{s.lower()}".encode()).hexdigest()[:12] + "@example.invalid"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", s):
+        return str(brute_date(*s.split("-")) or s)
+    if re.fullmatch(r"\d\d([./])\d\d[./]\d{4}", s):
+        one, two, y = s[:2], s[3:5], s[6:]
+        if found := brute_date(y, two, one):
+            return found.strftime(f"%d{s[2]}%m{s[5]}%Y")
+        found = brute_date(y, one, two)
+        return found.strftime(f"%m{s[2]}%d{s[5]}%Y") if found else s
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", s):
+        part = [int(x) for x in s.split(".")]
+        if max(part) > 255:
+            return s
+        a, b = brute_pair(part[0] * 256 + part[1], part[2] * 256 + part[3], 65536, 65536, "address")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", s):
+        areas = [k for k in range(1, 900) if k != 666]
+        area, group, serial = int(s[:3]), int(s[4:6]), int(s[7:])
+        if area not in areas or not group or not serial:
+            return s
+        a, b = brute_pair(areas.index(area), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "social")
+        return f"{areas[a]:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if s.startswith("+") and not s.startswith("+1"):
+        country = re.match(r"\+(\d+)", s)[1]
+        return refill(s, country + brute_digits(digits[len(country) :], f"phone:{country}"))
+    if len(digits) < 12:
+        ten = digits[-10:]
+        area, rest = int(ten[:3]), int(ten[3:])
+        if area < 200:
+            a, b = brute_pair(area, rest, 200, 10**7, "phone:low")
+        elif rest < 2 * 10**6:
+            a, b = brute_pair(area - 200, rest, 800, 2 * 10**6, "phone:odd")
+            a += 200
+        else:
+            a, b = brute_pair(area - 200, rest - 2 * 10**6, 800, 8 * 10**6, "phone")
+            a, b = a + 200, b + 2 * 10**6
+        return refill(s, digits[:-10] + f"{a:03d}{b:07d}")
+    if not luhn(digits):
+        return s
+    body = brute_digits(digits[:-1], "card")
+    return refill(s, next(x for x in (body + c for c in "0123456789") if luhn(x)))
+
+
+def test_pseudonyms_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    card = lambda n: next(x for b in [d(n - 1)] for x in (b + c for c in "0123456789") if luhn(x))
+    shapes = [
+        lambda: f"{rng.integers(1890, 2110)}-{rng.integers(1, 14):02d}-{rng.integers(1, 33):02d}", lambda: f"{rng.integers(1, 33):02d}/{rng.integers(1, 33):02d}/{rng.integers(1900, 2100)}",
+        lambda: f"{rng.integers(1, 32):02d}.{rng.integers(1, 13):02d}.{rng.integers(1900, 2100)}", lambda: ".".join(str(x) for x in rng.integers(0, 260, 4)), lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"+1 {d(3)}-{d(3)}-{d(4)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: f"2{d(2)} 9{d(2)} {d(4)}", lambda: f"+49 {d(3)} {d(4)} {d(2)}", lambda: f"+{rng.integers(20, 99)}-{d(2)}-{d(4)}",
+        lambda: card(16), lambda: refill("#### #### #### ####".replace("#", "0"), card(16)), lambda: card(13), lambda: card(19), lambda: d(16), lambda: f"{d(3)}.x%{d(2)}@a-{d(1)}.b.example",
+    ]
+    values = [[shapes[k % len(shapes)]() for k in range(j, j + 6)] for j in range(240)]
+    rows = [(k, "start " + " ;\n".join(v) + " end") for k, v in enumerate(values)]
+    found = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for k, v in enumerate(values):
+        assert found[k] == "start " + " ;\n".join(map(brute_pseudonym, v)) + " end"
+
+
+def test_pseudonyms_stay_valid(spark):
+    socials = spark.range(2000).select("id", F.format_string("%03d-%02d-%04d", F.col("id") % 899 + 1, F.col("id") % 99 + 1, F.col("id") * 5 % 9999 + 1).alias("text"))
+    for r in pii.pseudonymise(socials, "other", keep=("id",)).collect():
+        area, group, serial = map(int, r["text"].split("-"))
+        assert r["socials"] == (r["id"] % 899 + 1 != 666) and (not r["socials"] or (0 < area < 900 and area != 666 and group and serial))
+    phones = spark.range(2000).select(F.format_string("%d-%d-%04d", F.col("id") % 800 + 200, F.col("id") * 7 % 800 + 200, "id").alias("text"), "id")
+    found = [r["text"] for r in pii.pseudonymise(phones, "other", keep=("id",)).collect()]
+    assert all(re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4}", t) for t in found) and len(set(found)) == 2000
+
+
+def test_pseudonyms_of_very_long_texts(spark):
+    run = "QUJD" * 262_144  # 1 MB without a blank
+    labels = "a@" + "b." * 100_000
+    texts = [run, run + "@x.example", labels + "1", labels + "com", "1." * 300_000, "+1 " * 200_000, "4" * 500_000, "a@" * 300_000, "-" * 500_000 + "1984-02-29", None, ""]
+    rows = [(k, t, 7) for k, t in enumerate(texts)] + [(0, run, 7)]
+    began = time.time()
+    found = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, emails int").repartition(4), "k").collect()
+    assert time.time() - began < 60 and len(found) == len(rows)
+    got = {r["doc_id"]: r for r in found}
+    assert got[0]["text"] == run and got[1]["text"] == brute_pseudonym(run + "@x.example") and got[1]["emails"] == 1
+    assert got[2]["text"] == labels + "1" and got[9]["text"] is None and got[10]["text"] == "" and got[9]["pseudonyms"] == 0
+
+
 def test_licences():
     known = licences.table()
     longest = max(map(len, known))
@@ -342,7 +464,7 @@ def test_empty_tables(none, spark):
     assert packing.pack(none, tokens.default_vocabulary()).count() == 0
     path = workspace.folder(spark, "test-planes")
     assert planes.read(planes.write(none, path, tokens.default_vocabulary()), path).count() == 0
-    assert mixing.mix(none).count() == 0 and pii.pseudonymise(none).count() == 0
+    assert mixing.mix(none).count() == 0 and pii.pseudonymise(none, "k").count() == 0
     assert search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
     assert chat.format_pairs(chat.neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
