@@ -14,9 +14,18 @@ def lcg(a: Column, b: Column, seed: int = 0) -> Column:
     return (((first + b.cast("long") % M * 7919) % M) * 1103515245 + 12345) % M
 
 
-def uniform(a: Column, b: Column, seed: int = 0) -> Column:
-    """A portable draw from [0, 1) in steps of 2**-15."""
-    return F.floor(lcg(a, b, seed) / 65536.0) / F.lit(32768.0)
+BITS = 52
+
+
+def draw(*parts: Column | str | int) -> Column:
+    """A portable random integer of [0, 2**52): the first 13 hex digits of the MD5 of the parts, written as text with | between."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
+
+
+def uniform(*parts: Column | str | int) -> Column:
+    """A portable draw from [0, 1) in steps of 2**-52."""
+    return draw(*parts) / F.lit(float(1 << BITS))
 
 
 def r6(x: Column) -> Column:

@@ -14,6 +14,10 @@ from graphloom.operators.graph import PropertyGraph, ends
 from graphloom.plans.storage import stored
 
 
+#: Steps of walks that one task of the skip-gram trains on in a pass.
+WORDS_A_PART = 2_000_000
+
+
 def top_svd(a: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """(id, vec) of left vectors, singular values, and (id, vec) of right vectors of a matrix with long indices.
 
@@ -84,16 +88,19 @@ def _word2vec(walks: DataFrame, keys: list[str], dim: int, window: int, epochs:
     from pyspark.ml.functions import vector_to_array
 
     corpus = sampling.paths(walks, *keys).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, seed=seed, inputCol="path", outputCol="_").fit(stored(corpus, "corpus"))
+    held = stored(corpus, "corpus")
+    # a task trains on the walks of its part, so parts grow in number, not in size; vectors are averaged after each pass
+    parts = max(1, -(-(held.agg(F.sum(F.size("path"))).first()[0] or 0) // WORDS_A_PART))
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, numPartitions=parts, seed=seed, inputCol="path", outputCol="_").fit(held)
     return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vec"))
 
 
-def deepwalk(graph: PropertyGraph, dim: int = 128, walks: int = 10, length: int = 80, window: int = 10, epochs: int = 1, seed: int = 32) -> DataFrame:
+def deepwalk(graph: PropertyGraph, dim: int = 128, walks: int = 10, length: int = 80, window: int = 10, epochs: int = 5, seed: int = 32) -> DataFrame:
     """Skip-gram with hierarchical softmax over uniform walks; ids come back as strings."""
     return _word2vec(sampling.uniform_walks(graph.edges, length, walks, seed, nodes=graph.nodes), ["walk", "start"], dim, window, epochs, seed)
 
 
-def node2vec(graph: PropertyGraph, dim: int = 128, walks: int = 10, length: int = 80, p: float = 1.0, q: float = 1.0, window: int = 10, epochs: int = 1, seed: int = 32) -> DataFrame:
+def node2vec(graph: PropertyGraph, dim: int = 128, walks: int = 10, length: int = 80, p: float = 1.0, q: float = 1.0, window: int = 10, epochs: int = 5, seed: int = 32) -> DataFrame:
     """Skip-gram over second-order walks from each node."""
     return _word2vec(sampling.biased_walks(graph.edges, length, p, q, seed, walks=walks, nodes=graph.nodes), ["walk", "start"], dim, window, epochs, seed)
 

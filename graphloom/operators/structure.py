@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.numeric import lcg
+from graphloom.functions.numeric import draw
 from graphloom.operators import skew
-from graphloom.operators.graph import canonical
+from graphloom.operators.graph import canonical, numbered
 from graphloom.plans.storage import stored
 
 
@@ -95,45 +95,61 @@ def without_edges(edges: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def sampled(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k edges, uniform by a hash of their ends."""
-    return edges.orderBy(lcg(F.col("u"), F.col("v"), seed), "u", "v").limit(k)
+    """k edges, uniform by a hash of their ends, which may be of any type."""
+    return edges.orderBy(draw(F.col("u"), F.col("v"), seed), "u", "v").limit(k)
 
 
 def non_edges(edges: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """(u, v): ``count`` distinct pairs u < v without an edge, drawn by hash; no table of all pairs is made."""
-    nodes = stored(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "nodes")
-    spark, n = edges.sparkSession, nodes.count()
-    index = stored(nodes.withColumn("at", (F.row_number().over(Window.orderBy("id")) - 1).cast("long")), "index") if n < 1_000_000 else None
-    if index is None:
-        from graphloom.operators.graph import numbered
-
-        index = numbered(nodes, F.col("id")).select("id", F.col("idx").alias("at"))
-    free = n * (n - 1) // 2 - edges.select("u", "v").distinct().count()
-    want, tries, found = min(count, free), max(64, 3 * count), None
-    while True:
-        ids = spark.range(tries)
-        draw = lambda s: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(n))
-        pairs = ids.select(F.col("id").alias("try"), draw(1).alias("a"), draw(2).alias("b")).where("a <> b")
-        named = pairs.join(index.select(F.col("at").alias("a"), F.col("id").alias("x")), "a").join(index.select(F.col("at").alias("b"), F.col("id").alias("y")), "b")
-        unique = named.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("try").alias("try"))
-        found = stored(unique.join(edges.select("u", "v"), ["u", "v"], "left_anti"), "non-edges")
-        if found.count() >= want or tries > 200 * max(count, n):
-            break
-        tries *= 4
-    return found.orderBy("try").limit(want).select("u", "v")
+    """(u, v): ``count`` distinct pairs u < v of the edges' nodes without an edge, uniform by hash; all of them if there are fewer.
+
+    Pairs are numbered 0..n(n-1)/2-1.  Where most are free, numbers are drawn until enough are; no
+    table of all pairs is made.  Where over half are taken or asked for, all pairs are enumerated,
+    then at most about twice as many as there are edges and asked-for pairs.
+    """
+    book = stored(numbered(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), F.col("id")), "nodes")
+    spark, n = edges.sparkSession, book.count()
+    low, high = book.select(F.col("idx").alias("a"), F.col("id").alias("u")), book.select(F.col("idx").alias("b"), F.col("id").alias("v"))
+    flat = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # the pair a < b has the number b(b-1)/2 + a
+    known = stored(flat.join(low, "u").join(high, "v").select((F.col("b") * (F.col("b") - 1) / 2).cast("long").alias("t"), "a").select((F.col("t") + F.col("a")).alias("pair")), "known-pairs")
+    every = n * (n - 1) // 2
+    free = every - known.count()
+    want = min(count, free)
+    order = draw(F.col("pair"), seed)
+    if 2 * (want + every - free) >= every:
+        found = spark.range(every).select(F.col("id").alias("pair")).join(known, "pair", "left_anti")
+    else:
+        tries = 64 + 2 * want
+        while True:  # under half of all pairs are taken or wanted, so each round is likely to do
+            found = spark.range(tries).select((draw(F.col("id"), seed, "pair") % every).alias("pair")).distinct().join(known, "pair", "left_anti")
+            found = stored(found, "free-pairs")
+            if found.count() >= want:
+                break
+            tries *= 2
+    chosen = stored(found.orderBy(order, "pair").limit(want), "non-edges")
+    b = F.floor((F.sqrt(8.0 * F.col("pair") + 1) + 1) / 2).cast("long")
+    fits = lambda x: (x * (x - 1) / 2).cast("long")
+    b = F.when(fits(b) > F.col("pair"), b - 1).when(fits(b + 1) <= F.col("pair"), b + 1).otherwise(b)  # the root is rounded
+    ends = chosen.select("pair", b.alias("b")).select("b", (F.col("pair") - fits(F.col("b"))).alias("a"))
+    return ends.join(low, "a").join(high, "b").select("u", "v")
 
 
 def train_test(edges: DataFrame, train_ratio: float = 0.8, negatives: int = 5, seed: int = 42) -> DataFrame:
-    """(u, v, label, part): a spanning forest and hash-chosen edges train, the rest test; negatives per positive in each part."""
+    """(u, v, label, part): a spanning forest and hash-chosen edges train, the rest test; ``negatives`` non-edges for each edge of each part.
+
+    Where the graph has too few non-edges they are dealt to the parts in the ratio of the edges.
+    """
     base = stored(canonical(edges), "edges")
     tree = spanning_forest(base.select(F.col("u").alias("src"), F.col("v").alias("dst"), "weight")).select("u", "v")
     total = base.count()
     rest = stored(without_edges(base.select("u", "v"), tree), "rest")
     more = max(0, round(train_ratio * total) - tree.count())
-    extra = sampled(rest, more, seed)
+    extra = stored(sampled(rest, more, seed), "extra")
     test = without_edges(rest, extra)
     positive = tree.unionByName(extra).withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     none = stored(non_edges(base, negatives * total, seed), "negatives")
-    share = int(train_ratio * (1 << 20))
-    marked = none.withColumn("part", F.when(lcg(F.col("u"), F.col("v"), seed) % (1 << 20) < share, "train").otherwise("test"))
+    trained = total - max(0, rest.count() - more)
+    share = round(none.count() * trained / total) if total else 0
+    first = stored(none.orderBy(draw(F.col("u"), F.col("v"), seed, "part"), "u", "v").limit(share), "negatives-train")
+    marked = first.withColumn("part", F.lit("train")).unionByName(none.join(first, ["u", "v"], "left_anti").withColumn("part", F.lit("test")))
     return positive.select("u", "v", F.lit(1).alias("label"), "part").unionByName(marked.select("u", "v", F.lit(0).alias("label"), "part"))

@@ -89,6 +89,11 @@ def _lcg(a: str, b: str, seed: int = 0) -> str:
     return f"((((((({a})::bigint * 1103515245 + {12345 + seed}) % 2147483648) + ({b})::bigint * 7919) % 2147483648) * 1103515245 + 12345) % 2147483648)"
 
 
+def _draw(*parts: str) -> str:
+    """``numeric.draw`` of these SQL expressions."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'({p})::varchar' for p in parts)})), 1, 13))::bigint)"
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
 
@@ -200,7 +205,7 @@ def edge_difference(spark, folder):
     return structure.without_edges(edges, edges.where("(u + v) % 3 = 0").select(F.col("v").alias("u"), F.col("u").alias("v"))).select("u", "v", "weight")
 
 
-@query(f"with {COORD} select u, v, weight from coord order by {_lcg('u', 'v', 7)}, u, v limit 500")
+@query(f"with {COORD} select u, v, weight from coord order by {_draw('u', 'v', '7')}, u, v limit 500")
 def edge_sample(spark, folder):
     return structure.sampled(coord(spark, folder), 500, 7)
 
@@ -380,29 +385,28 @@ def node2vec_transitions(spark, folder):
 
 
 @query(f"""with recursive {NEAR}, arcs as (select src, dst, row_number() over (partition by src order by dst) - 1 as pos, count(*) over (partition by src) as deg from near),
-    w(start, step, node) as (select id, 0, id from nodes union all select w.start, w.step + 1, a.dst from w join arcs a on a.src = w.node and a.pos = {_lcg('w.start', 'w.step + 1', 3)} % a.deg where w.step < 5)
+    w(start, step, node) as (select id, 0, id from nodes union all select w.start, w.step + 1, a.dst from w join arcs a on a.src = w.node and a.pos = {_draw('w.start', '0', 'w.step + 1', '0', '3', "'n'")} % a.deg where w.step < 5)
     select start, step, node from w""")
 def uniform_walks(spark, folder):
     return sampling.uniform_walks(near(spark, folder), 6, 1, 3).select("start", "step", "node")
 
 
 @query(f"""with recursive {NEAR}, arcs as (select src, dst, row_number() over (partition by src order by dst) - 1 as pos, count(*) over (partition by src) as deg from near),
-    w(start, step, node) as (select id, 0, id from nodes union all select w.start, w.step + 1, a.dst from w join arcs a on a.src = w.node and a.pos = {_lcg('w.start', 'w.step + 1', 3)} % a.deg where w.step < 5)
+    w(start, step, node) as (select id, 0, id from nodes union all select w.start, w.step + 1, a.dst from w join arcs a on a.src = w.node and a.pos = {_draw('w.start', '0', 'w.step + 1', '0', '3', "'n'")} % a.deg where w.step < 5)
     select a.node as center, b.node as context, count(*) as n from w a join w b on a.start = b.start and a.step <> b.step and abs(a.step - b.step) <= 2 group by all""")
 def skipgram_pairs(spark, folder):
     walks = stored(uniform_walks(spark, folder), "walks")
     return sampling.skipgram_pairs(walks, ["start"], 2)
 
 
-_U = f"(floor({_lcg('w.start', 'w.step + 1', 9)}::double / 65536) / 32768::double)"
-
-
-@query(f"""with recursive {NEAR}, f as (select -1::bigint as prev, src as cur, dst as nxt, w / sum(w) over (partition by src) as prob from near),
-    t as (select a.src as prev, a.dst as cur, b.dst as nxt, case when b.dst = a.src then b.w / 0.25 when exists (select 1 from near c where c.src = b.dst and c.dst = a.src) then b.w else b.w / 4 end as bias
-      from near a join near b on a.dst = b.src), steps as (select * from f union all select prev, cur, nxt, bias / sum(bias) over (partition by prev, cur) from t),
-    cdf as (select *, sum(prob) over (partition by prev, cur order by nxt rows unbounded preceding) as hi from steps),
-    w(start, step, prev, node) as (select id, 0, -1::bigint, id from nodes union all select w.start, w.step + 1, w.node, c.nxt from w join cdf c on c.prev = w.prev and c.cur = w.node
-      and {_U} >= c.hi - c.prob - 1e-12::double and {_U} < c.hi - 1e-12::double where w.step < 5)
+# draws of a start, step and try don't depend on where the walker is; 400 tries are enough for all to move, as the query tries until they have
+@query(f"""with recursive {NEAR}, arcs as (select src, dst, row_number() over (partition by src order by dst) - 1 as pos, count(*) over (partition by src) as deg from near),
+    draws as (select id as start, step, t as try, {_draw('id', '0', 'step', 't', '9', "'n'")} as d, {_draw('id', '0', 'step', 't', '9', "'a'")} / {float(1 << 52)} as u
+      from nodes, (select unnest(range(1, 6)) as step), (select unnest(range(400)) as t)),
+    w(start, step, prev, node) as (select id, 0, -1::bigint, id from nodes union all
+      select w.start, w.step + 1, w.node, arg_min(a.dst, d.try) from w join draws d on d.start = w.start and d.step = w.step + 1 join arcs a on a.src = w.node and a.pos = d.d % a.deg
+        left join near c on c.src = a.dst and c.dst = w.prev
+        where w.step < 5 and d.u < case when w.step = 0 then 1.0 when a.dst = w.prev then 1.0 when c.src is not null then 0.25 else 0.0625 end group by w.start, w.step, w.node)
     select start, step, node from w""")
 def biased_walks(spark, folder):
     return sampling.biased_walks(near(spark, folder), 6, 0.25, 4.0, 9).select("start", "step", "node")

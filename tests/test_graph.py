@@ -161,3 +161,61 @@ def test_shared_orders_take_every_line(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, None)], "u long, v long")
     assert {(r["node"], r["root"]) for r in skew.components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_uniform_walks_are_random(spark):
+    """Steps at nodes of degree 2, 4, 8 and 16 against equal chances, and how far walks get on a ring; ids are strings."""
+    ring = [(f"n{k}", f"n{(k + d) % 200}", 1.0) for k in range(200) for d in (1, 199)]
+    found = sampling.uniform_walks(spark.createDataFrame(ring, "src string, dst string, weight double"), 41, 5, 1).collect()
+    walks = collections.defaultdict(dict)
+    for r in found:
+        walks[r["walk"], r["start"]][r["step"]] = r["node"]
+    assert len(walks) == 1000 and all(sorted(w) == list(range(41)) for w in walks.values())
+    assert 8 < sum(len(set(w.values())) for w in walks.values()) / 1000 < 12  # about 10 for fair steps
+    turns = [sum(w[k] == w[k + 2] for k in range(39)) for w in walks.values()]
+    assert abs(sum(turns) / 39_000 - 0.5) < 0.01
+    for deg in (4, 8, 16):
+        star = [(0, k, 1.0) for k in range(1, deg + 1)] + [(k, 0, 1.0) for k in range(1, deg + 1)]
+        steps = sampling.uniform_walks(spark.createDataFrame(star, "src long, dst long, weight double"), 20, 100, deg).where("node <> 0")
+        seen = collections.Counter(r["node"] for r in steps.where("step > 1").collect())
+        mean = sum(seen.values()) / deg
+        assert len(seen) == deg and sum((n - mean) ** 2 / mean for n in seen.values()) < deg + 6 * math.sqrt(2 * deg)
+
+
+def test_walks_reach_all_neighbours_of_a_hub(spark):
+    hub = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    seen = sampling.uniform_walks(hub, 2, 3, 5).where("step = 1").select(F.countDistinct("node"), F.max("node")).first()
+    assert seen[0] == 3 and sampling.uniform_walks(hub, 2, 1, 5).where("start > 0").agg(F.max("step")).first()[0] == 0
+    starts = spark.range(50_000).select(F.concat(F.lit("s"), "id").alias("src"), F.lit("hub").alias("dst"), F.lit(1.0).alias("weight"))
+    both = hub.select(F.lit("hub").alias("src"), F.col("dst").cast("string").alias("dst"), "weight").unionByName(starts)
+    ends = sampling.uniform_walks(both, 3, 1, 5).where("step = 2").select(F.col("node").cast("long").alias("n"))
+    low, high, distinct = ends.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    assert low < 20 and high > 99_980 and abs(distinct - 100_000 * (1 - math.exp(-0.5))) < 700
+
+
+def test_biased_walks_have_the_chances_of_the_transitions(spark):
+    arcs = [("a", "b", 1.0), ("b", "a", 3.0), ("b", "c", 0.4), ("b", "d", 6.0), ("c", "a", 1.0), ("b", "e", 0.0)]
+    edges = spark.createDataFrame(arcs, "src string, dst string, weight double")
+    found = sampling.biased_walks(edges, 3, 0.5, 4.0, 2, walks=8000).where("start = 'a' and step = 2").groupBy("node").count().collect()
+    want = {r["nxt"]: r["prob"] for r in sampling.transitions(edges.where("weight > 0"), 0.5, 4.0).where("prev = 'a' and cur = 'b'").collect()}
+    assert sum(r["count"] for r in found) == 8000 and {r["node"] for r in found} == set(want)
+    assert all(abs(r["count"] - 8000 * want[r["node"]]) < 5 * math.sqrt(8000 * want[r["node"]]) for r in found)
+
+
+def test_alias_draws_have_the_distribution(spark):
+    shares = spark.createDataFrame([("k", 7, 0.1), ("k", 8, 0.6), ("k", 9, 0.3), ("l", 5, 1.0)], "key string, val int, prob double")
+    tables = sampling.alias_tables(shares, "key", "val", "prob")
+    drawn = sampling.alias_draw(tables, spark.range(6000).select("id", F.when(F.col("id") < 5000, "k").otherwise("l").alias("key")), "key", F.col("id"), 3)
+    seen = collections.Counter((r["key"], r["drawn"]) for r in drawn.collect())
+    assert seen["l", 5] == 1000 and all(abs(seen["k", v] - 5000 * p) < 200 for v, p in ((7, 0.1), (8, 0.6), (9, 0.3)))
+
+
+def test_non_edges_are_complete(spark):
+    nodes = range(60)
+    free = {(3, 50), (7, 8), (0, 59)}
+    full = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a < b and (a, b) not in free], "u long, v long")
+    assert set(rows(structure.non_edges(full, 100))) == free and len(rows(structure.non_edges(full, 2))) == 2
+    path = [(f"{k:03d}", f"{k + 1:03d}") for k in range(99)]
+    found = rows(structure.non_edges(spark.createDataFrame(path, "u string, v string"), 500))
+    assert len(set(found)) == 500 and not set(found) & set(path) and all(u < v for u, v in found)
+    assert len(rows(structure.non_edges(spark.createDataFrame(path, "u string, v string"), 10**6))) == 4950 - 99
