@@ -80,7 +80,7 @@ KNN = """sims as (select a.vec_id as src, b.vec_id as dst, list_cosine_similarit
 NEAR = f"{KNN}, near as (select distinct src, dst, 1.0::double as w from (select src, dst from knn union all select dst, src from knn)), nodes as (select distinct src as id from near)"
 TRADE = """trade as (select c_nationkey::bigint as src, s_nationkey::bigint as dst, count(*)::double as w from lineitem join orders on l_orderkey = o_orderkey
          join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all)"""
-COORD = """items as (select distinct l_orderkey, l_suppkey as s from lineitem where l_linenumber <= 2),
+COORD = """items as (select distinct l_orderkey, l_suppkey as s from lineitem),
   coord as (select a.s as u, b.s as v, count(*)::double as weight from items a join items b on a.l_orderkey = b.l_orderkey and a.s < b.s group by all)"""
 VEC = "vec as (select vec_id as id, unnest(range(len(embedding)))::int as k, unnest(cast(embedding as double[])) as x from embeddings)"
 
