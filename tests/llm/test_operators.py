@@ -228,6 +228,25 @@ def test_deduplicated_rows_that_are_no_file_scan(spark, docs):
     assert collections.Counter(r[0] for r in stayed) == want
 
 
+@pytest.mark.parametrize("hex_digits, files", [(1, 2), (2, 1000)])
+def test_dedup_where_digests_clash(docs, hex_digits, files):
+    """A weak digest gives many texts one key; the groups are still those of the texts."""
+    found, want = dedup.dedup(docs, files=files, hex_digits=hex_digits).collect(), dedup.dedup(docs).collect()
+    told = lambda rows: collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows)
+    assert told(found) == told(want)
+
+
+@pytest.mark.parametrize("hex_digits", [64, 1, 0])
+def test_dedup_over_one_state(spark, hex_digits):
+    place = workspace.folder(spark, "test-state")
+    calls = [[(5, "a  b"), (6, "c"), (7, "a b")], [(1, "a\tb"), (2, "d"), (3, "d"), (None, None)], [(9, "c"), (8, ""), (4, "e")]]
+    want = [{(5, 5, 2, True), (6, 6, 1, True), (7, 5, 2, False)}, {(1, 5, 3, False), (2, 2, 2, True), (3, 2, 2, False), (None, None, 1, True)}, {(9, 6, 2, False), (8, None, 2, False), (4, 4, 1, True)}]
+    for rows, expected in zip(calls, want):
+        made = workspace.keep(spark.createDataFrame(rows, "doc_id long, text string"), "test-part")
+        found = dedup.dedup(made, state=place, hex_digits=hex_digits).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found} == expected
+
+
 def test_dedup_of_nothing(none):
     assert dedup.dedup(none).count() == 0 and dedup.deduplicated(none).count() == 0
 
