@@ -5,9 +5,11 @@ import datetime
 import functools
 import hashlib
 import itertools
+import math
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -169,18 +171,33 @@ def test_mixing_comes_near_on_many_documents(spark):
     assert all(abs(taken - target) <= 0.03 * target for _, taken, target in found)
 
 
-def test_top_k_with_ties_nulls_and_repeats(spark):
-    rows = [(k, [float(x) for x in RNG.integers(-2, 3, 4) / 4]) for k in range(120)]
-    rows += [(20, rows[20][1]), (None, [1.0, 1.0, 1.0, 1.0]), (200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (220, [])]
-    found = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 7).collect()
-    good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+def brute_top(rows, k):
+    """By Python's integers; rows are (vec_id, vector)."""
+    good = [(i, [math.floor(64 * Fraction(float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for a, (i, v) in enumerate(good):
         if i is not None and i % 20 == 0:
-            scores = sorted((-(v @ w), j is None, j or 0) for b, (j, w) in enumerate(good) if b != a)[:7]
+            cut = lambda s: max(search.LOW, min(search.HIGH, s))
+            scores = sorted((-cut(sum(x * y for x, y in zip(v, w))), j is None, j or 0) for b, (j, w) in enumerate(good) if b != a)[:k]
             want += [(i, r + 1, None if z else j, -s) for r, (s, z, j) in enumerate(scores)]
+    return want
+
+
+@pytest.mark.parametrize("block", [32_768, 3])
+def test_top_k_with_ties_nulls_and_repeats(spark, block, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", block), monkeypatch.setattr(search, "TILE_QUERIES", 2), monkeypatch.setattr(search, "TILE_ROWS", 50), monkeypatch.setattr(search, "SHARD_ROWS", 40)
+    rows = [(k, [float(x) for x in RNG.integers(-2, 3, 4) / 4]) for k in range(120)]
+    rows += [(20, rows[20][1]), (None, [1.0, 1.0, 1.0, 1.0]), (200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (220, []), (221, []), (240, [0.5, -0.3])]
+    found = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 7).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
-    assert sorted(map(tuple, found), key=key) == sorted(((int(a), b, None if c is None else int(c), int(d)) for a, b, c, d in want), key=key)
+    assert sorted(map(tuple, found), key=key) == sorted(brute_top(rows, 7), key=key)
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(k, [float(x) for x in RNG.integers(-9, 9, 3)]) for k in range(60)]
+    rows += [(60, [1e30, 2.0, 0.0]), (61, [-1e30, 3.0, 1.0]), (80, [3e38, -3e38, 1.0]), (100, [1e6, -2e6, 0.013]), (101, [5e9, 1.0, -7e9]), (102, [123456789.0, 0.1, 1e12]), (103, [1e30, 1e30, 1e30])]
+    found = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 9).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_top(rows, 9))
 
 
 def test_quality_on_held_out_labels(spark):
