@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.dense import mapped, matrix_of
 from graphloom.functions.numeric import l2_normalised
 from graphloom.operators import factors, matrix, sampling, structure
-from graphloom.operators.graph import PropertyGraph, ends
+from graphloom.operators.graph import PropertyGraph, ends, numbered
 from graphloom.plans.storage import stored
 
 
@@ -18,23 +22,77 @@ from graphloom.plans.storage import stored
 WORDS_A_PART = 2_000_000
 
 
+#: Up to this many rows and columns MLlib decomposes, whose right vectors come to the driver.
+LOCAL_SIDE = 20_000
+
+
 def top_svd(a: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """(id, vec) of left vectors, singular values, and (id, vec) of right vectors of a matrix with long indices.
+    """(id, vec) of left vectors, singular values, and (id, vec) of right vectors of a matrix (i, j, v), ids of any type.
 
-    MLlib multiplies on the executors; only vectors of one row's width come to the driver.
+    Only ids of a row or column that has entries come back, and as many values as are positive.
+    Small matrices go to MLlib, entries and rows staying in the JVM; larger ones are decomposed by
+    ``_subspace``, which brings no more than k x k numbers to the driver.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    spark = a.sparkSession
-    held = stored(a.select(F.col("i").cast("long"), F.col("j").cast("long"), "v"), "svd")
-    size = held.agg(F.max(F.greatest("i", "j"))).first()[0] + 1
-    entries = held.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))
-    found = CoordinateMatrix(entries, size, size).toIndexedRowMatrix().computeSVD(k, computeU=True)
-    left = found.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector])).toDF("id long, vec array<double>")
-    right = spark.createDataFrame([(j, [float(x) for x in row]) for j, row in enumerate(found.V.toArray())], "id long, vec array<double>")
+    book = stored(numbered(a.select(F.explode(F.array("i", "j")).alias("id")).distinct(), F.col("id")), "svd-ids")
+    low, high = book.select(F.col("id").alias("i"), F.col("idx").alias("_i")), book.select(F.col("id").alias("j"), F.col("idx").alias("_j"))
+    held = stored(a.join(low, "i").join(high, "j").select(F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("v").cast("double").alias("v")), "svd")
+    size = book.count()
+    left, s, right = (_in_mllib if size <= LOCAL_SIDE else _subspace)(held, size, min(k, size))
+    named = lambda rows: rows.withColumnRenamed("id", "idx").join(book, "idx").select("id", "vec")
+    return named(left), s, named(right)
+
+
+def _in_mllib(a: DataFrame, size: int, k: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+
+    matrix_ = callMLlibFunc("createCoordinateMatrix", a, size, size)
+    found = IndexedRowMatrix(matrix_.toIndexedRowMatrix()).computeSVD(k, computeU=True)
+    rows = callMLlibFunc("getIndexedRows", found.U._java_matrix_wrapper._java_model)
+    left = stored(rows.select(F.col("index").alias("id"), vector_to_array("vector").alias("vec")), "svd-left")
+    v = found.V.toArray()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * v.shape[1], pa.int32()), pa.array(v.reshape(-1)))
+    right = a.sparkSession.createDataFrame(pa.table({"id": pa.array(np.arange(size)), "vec": lists}))
     return left, np.array(found.s), right
 
 
+def _subspace(a: DataFrame, size: int, k: int, extra: int = 8, rounds: int = 60, tolerance: float = 1e-7) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Subspace iteration from random vectors: products with the matrix are joins, orthogonal bases come of k x k Gram matrices.
+
+    Stops when no value moves by more than ``tolerance`` of the largest from one round to the next.
+    """
+    width = min(k + extra, size)
+    back = matrix.transposed(a)
+
+    def basis(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """Orthonormal columns that span those of rows, their scales, and the rotation."""
+        wide = len(rows.first()["vec"])
+        lam, u = np.linalg.eigh(factors.gram(rows, "vec", wide))
+        order = [j for j in np.argsort(-lam) if lam[j] > 1e-14 * lam.max()]
+        turn = u[:, order] / np.sqrt(lam[order])
+        return stored(mapped(rows, "id", "vec", lambda batch: matrix_of(batch, "vec") @ turn), "basis"), np.sqrt(lam[order]), u[:, order]
+
+    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(1 << 30)) / float(1 << 29) - 1.0)
+    q = a.select(F.col("j").alias("id")).distinct().select("id", start.alias("vec"))
+    q, before = basis(stored(q, "start"))[0], None
+    for _ in range(rounds):
+        left, s, _ = basis(stored(factors.through(a, q, "vec", len(q.first()["vec"])), "product"))
+        y = stored(factors.through(back, left, "vec", len(s)), "product")
+        q, s, turn = basis(y)  # A' left = q s turn'
+        if before is not None and len(before) == len(s) and np.abs(s - before)[:k].max() <= tolerance * s[0]:
+            break
+        before = s
+    left = stored(mapped(left, "id", "vec", lambda batch: matrix_of(batch, "vec") @ turn[:, :k]), "svd-left")
+    return left, s[:k], q.select("id", F.slice("vec", 1, min(k, len(s))).alias("vec"))
+
+
+def _on_all(vectors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A vector for each node: zeros where there is none."""
+    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    return nodes.select("id").distinct().join(vectors, "id", "left").select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec"))
+
+
 def _scaled(vectors: DataFrame, by: np.ndarray) -> DataFrame:
     factors = F.array(*[F.lit(float(x)) for x in by])
     return vectors.select("id", F.zip_with("vec", factors, lambda x, y: x * y).alias("vec"))
@@ -48,16 +106,16 @@ def _concatenated(parts: list[DataFrame]) -> DataFrame:
 
 
 def hope(graph: PropertyGraph, dim: int) -> DataFrame:
-    """Both singular sides of the two-step matrix, each scaled by the root of the values."""
+    """Both singular sides of the two-step matrix, each scaled by the root of the values; zeros on a side without two-step paths."""
     if dim % 2:
         raise ValueError("an even dimension is needed")
     a = matrix.matrix(graph.edges)
     left, s, right = top_svd(matrix.product(a, a), dim // 2)
-    return _concatenated([_scaled(left, np.sqrt(s)), _scaled(right, np.sqrt(s))])
+    return _concatenated([_on_all(_scaled(side, np.sqrt(s)), graph.nodes) for side in (left, right)])
 
 
 def grarep(graph: PropertyGraph, dim: int, steps: int = 4) -> DataFrame:
-    """For each power of the column-stochastic matrix the left singular side of its positive log, rows scaled to length 1."""
+    """For each power of the column-stochastic matrix the left singular side of its positive log, rows scaled to length 1; zeros where a node has no positive log."""
     if dim % steps:
         raise ValueError("the dimension must be a multiple of the number of steps")
     binary = graph.undirected().edges.withColumn("weight", F.lit(1.0))
@@ -67,7 +125,7 @@ def grarep(graph: PropertyGraph, dim: int, steps: int = 4) -> DataFrame:
         now = p if step == 0 else stored(matrix.product(now, p), "power")
         left, s, _ = top_svd(matrix.positive_log(now, n), dim // steps)
         parts.append(_scaled(left, np.sqrt(s)).select("id", l2_normalised(F.col("vec")).alias("vec")))
-    return _concatenated(parts)
+    return _concatenated([_on_all(part, graph.nodes) for part in parts])
 
 
 def laplacian_map(graph: PropertyGraph, dim: int) -> DataFrame:
@@ -131,3 +189,6 @@ def embed(graph: PropertyGraph, method: str, **parameters) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
     return METHODS[method](graph, **parameters)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

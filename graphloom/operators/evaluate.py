@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import argmax
+from graphloom.operators.graph import numbered, sums_before
 
 
 def permutation_split(labels: DataFrame, ratio: float, seed: int | None = 0, order: str = "line_no") -> DataFrame:
     """``labels`` with ``part`` train or test: rows in file order are permuted by numpy's legacy generator.
 
-    The permutation is made on the driver, eight bytes a row; label files are small by nature.
+    The permutation is made on the driver, sixteen bytes a row; label files are small by nature.
     """
-    from graphloom.operators.graph import numbered
-
     spark, rows = labels.sparkSession, numbered(labels, F.col(order))
     n = labels.count()
     rank = np.argsort(np.random.RandomState(seed).permutation(n))
-    place = spark.createDataFrame([(int(k), int(r)) for k, r in enumerate(rank)], "idx long, place long")
+    place = spark.createDataFrame(pa.table({"idx": np.arange(n), "place": rank.astype(np.int64)}))
     return rows.join(place, "idx").withColumn("part", F.when(F.col("place") < int(ratio * n), "train").otherwise("test"))
 
 
@@ -57,8 +57,7 @@ def roc_auc(scores: DataFrame) -> DataFrame:
     Ranks are running sums over the distinct scores, after an aggregation by score.
     """
     ties = scores.groupBy("score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("mid", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = sums_before(ties, F.col("score"), ["n"]).withColumn("mid", F.col("before_n") + (F.col("n") + 1) / 2.0)
     total = ranked.agg(F.sum(F.col("mid") * F.col("p")).alias("s"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
     return total.select(((F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -66,9 +65,9 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 def average_precision(scores: DataFrame) -> DataFrame:
     """(ap) of (score, label): precision at each distinct score, weighted by the recall it adds."""
     ties = scores.groupBy("score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    precision = F.sum("p").over(upto) / F.sum("n").over(upto).cast("double")
-    return ties.withColumn("precision", precision).agg((F.sum(F.col("precision") * F.col("p")) / F.sum("p").cast("double")).alias("ap"))
+    told = sums_before(ties, F.desc("score"), ["p", "n"])
+    precision = (F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n")).cast("double")
+    return told.withColumn("precision", precision).agg((F.sum(F.col("precision") * F.col("p")) / F.sum("p").cast("double")).alias("ap"))
 
 
 def masked_accuracy(rows: DataFrame) -> DataFrame:

@@ -190,12 +190,16 @@ def sdne(
     return encoded().join(book, "idx").select("id", F.col("y").alias("vec"))
 
 
-def _through(m: DataFrame, rows: DataFrame, name: str, width: int) -> DataFrame:
+def through(m: DataFrame, rows: DataFrame, name: str, width: int) -> DataFrame:
     """(id, name): for each row i of ``m`` the sum of v(i, j) times the vector of j."""
     both = m.join(rows.select(F.col("id").alias("j"), F.col(name).alias("_v")), "j")
     return both.groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("v") * F.col("_v")[k]) for k in range(width)]).alias(name))
 
 
+def gram(rows: DataFrame, name: str, size: int) -> np.ndarray:
+    return partition_sums(rows, lambda batch: (matrix_of(batch, name).T @ matrix_of(batch, name)).reshape(-1), size * size).reshape(size, size)
+
+
 def tadw(graph: PropertyGraph, features: DataFrame, dim: int = 128, lamb: float = 0.2, rounds: int = 20, most: int = 200, seed: int = 32) -> DataFrame:
     """(id, vec) from the graph and (id, features): factors W and H with M close to W' H T, found in turn.
 
@@ -213,9 +217,6 @@ def tadw(graph: PropertyGraph, features: DataFrame, dim: int = 128, lamb: float
     t = stored(features.select("id", F.transform("features", lambda x: x.cast("double")).alias("t")), "features")
     width = t.agg(F.max(F.size("t"))).first()[0]
 
-    def gram(rows: DataFrame, name: str, size: int) -> np.ndarray:
-        return partition_sums(rows, lambda batch: (matrix_of(batch, name).T @ matrix_of(batch, name)).reshape(-1), size * size).reshape(size, size)
-
     tt = gram(t, "t", width)
     if width > most:
         axes = np.linalg.eigh(tt)[1][:, ::-1][:, :most]
@@ -227,9 +228,9 @@ def tadw(graph: PropertyGraph, features: DataFrame, dim: int = 128, lamb: float
     for _ in range(rounds):
         left = 2 * h @ tt @ h.T + lamb * np.eye(half)
         solved = 2 * np.linalg.inv(left)
-        moved = _through(m, mapped(t, "id", "x", lambda batch, h=h: matrix_of(batch, "t") @ h.T), "x", half)
+        moved = through(m, mapped(t, "id", "x", lambda batch, h=h: matrix_of(batch, "t") @ h.T), "x", half)
         w = stored(mapped(moved, "id", "w", lambda batch, s=solved: matrix_of(batch, "x") @ s), "factor")
-        cross = _through(m, w, "w", half).join(t, "id")
+        cross = through(m, w, "w", half).join(t, "id")
         c = partition_sums(cross, lambda batch: (matrix_of(batch, "w").T @ matrix_of(batch, "t")).reshape(-1), half * width).reshape(half, width)
         lam, u = np.linalg.eigh(gram(w, "w", half))
         h = u @ ((u.T @ c @ v) / (np.outer(lam, gamma) + lamb)) @ v.T

@@ -60,6 +60,24 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     return held.join(F.broadcast(base), "_part").withColumn("idx", (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_at", "_local", "_base")
 
 
+def sums_before(rows: DataFrame, order: Column, columns: list[str]) -> DataFrame:
+    """``rows`` with ``before_c`` for each column c: its sum over the rows before, in the given order.
+
+    Ranges of the order are summed each in a task of its own, then moved by the totals of the ranges before.
+    """
+    from graphloom.plans.storage import stored
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    held = stored(ranged, "ranges").withColumn("_part", F.shiftright("_at", 33))
+    inner = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns])  # one row for each range
+    base = sizes.select("_part", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"_base_{c}") for c in columns])
+    told = held.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{c}") for c in columns]).join(F.broadcast(base), "_part")
+    return told.select(*rows.columns, *[(F.col(f"_base_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in columns])
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, nbrs): sorted out-neighbours."""
     return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,32 +31,72 @@ def cosine_graph(weights: DataFrame, k: int) -> DataFrame:
     return sims.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block: int = 16_384) -> DataFrame:
     """(src, dst, weight): k nearest by cosine, ties to the smaller id.
 
-    Vectors are dealt into blocks; each pair of blocks is one matrix product in a task of its own
-    that returns k candidates for each of its rows, and a window keeps the best k of a row.
+    Vectors are dealt into blocks, and once more into groups; a task holds one block, meets one
+    group tile by tile and keeps the best k of each of its rows.  So a vector is copied as often as
+    there are blocks and groups, and a row's lists are as many as there are groups.
     """
     spark = vectors.sparkSession
-    blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = spark.range(blocks).select(F.col("id").cast("int").alias("c"))
-    left = rows.crossJoin(F.broadcast(others)).select("b", "c", F.lit(0).alias("side"), "id", "x")
-    right = rows.crossJoin(F.broadcast(others)).select(F.col("c").alias("b"), F.col("b").alias("c"), F.lit(1).alias("side"), "id", "x")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda part: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(part["x"].to_numpy()))
-        a, b = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "weight": []}).astype({"src": "int64", "dst": "int64", "weight": "float64"})
-        sims = unit(a) @ unit(b).T
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        sims[ia[:, None] == ib[None, :]] = -np.inf
-        at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        picked = np.take_along_axis(sims, at, 1)
-        out = pd.DataFrame({"src": np.repeat(ia, at.shape[1]), "dst": ib[at].ravel(), "weight": picked.ravel()})
-        return out[np.isfinite(out["weight"])]
-
-    found = left.unionByName(right).groupBy("b", "c").applyInPandas(best, "src long, dst long, weight double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(-(-tasks // blocks), n // 4096))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    some = lambda seed, count: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
+    own = rows.select(some(1, blocks).alias("b"), each(groups).alias("g"), F.lit(0).alias("side"), "id", "x")
+    others = rows.select(each(blocks).alias("b"), some(2, groups).alias("g"), F.lit(1).alias("side"), "id", "x")
+    place = (F.col("b") * groups + F.col("g")).cast("int").alias("place")
+    dealt = own.unionByName(others).select(place, "side", "id", "x").repartitionById(blocks * groups, "place").sortWithinPartitions("place", "side", "id").drop("place")
+    found = dealt.mapInArrow(_nearest(k), "src long, dst array<long>, weight array<double>")
+    pairs = F.arrays_zip(F.transform("weight", lambda w: -w).alias("loss"), F.col("dst"))
+    best = found.select("src", pairs.alias("p")).groupBy("src").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))  # one list for each group
+    return best.select("src", F.explode("p").alias("p")).select("src", F.col("p.dst").alias("dst"), (-F.col("p.loss")).alias("weight"))
+
+
+def _nearest(k: int, tile: int = 4096, width: int = 1024):
+    def unit(lists: list) -> np.ndarray:
+        m = np.array(lists, float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []
+        held: list[tuple] = []
+        state: dict = {}
+
+        def absorb(rows: list[tuple]) -> None:
+            if not state:
+                state["id"], state["x"] = np.array([r[0] for r in own], np.int64), unit([r[1] for r in own])
+                state["w"], state["d"] = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64)
+            ids, other = np.array([r[0] for r in rows], np.int64), unit([r[1] for r in rows])
+            w, d = [], []
+            for lo in range(0, len(own), width):
+                sims = state["x"][lo : lo + width] @ other.T
+                sims[state["id"][lo : lo + width, None] == ids[None, :]] = -np.inf
+                at = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
+                w.append(np.take_along_axis(sims, at, 1))
+                d.append(ids[at])
+            w, d = np.concatenate([state["w"], np.concatenate(w)], 1), np.concatenate([state["d"], np.concatenate(d)], 1)
+            order = np.lexsort((d, -w), axis=1)[:, :k]
+            state["w"], state["d"] = np.take_along_axis(w, order, 1), np.take_along_axis(d, order, 1)
+
+        for batch in batches:
+            for side, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                (held if side else own).append(tuple(row))
+            while own and len(held) >= tile:
+                absorb(held[:tile])
+                held = held[tile:]
+        if own and held:
+            absorb(held)
+        for lo in range(0, len(state.get("id", ())), 2048):
+            real = [np.isfinite(x) for x in state["w"][lo : lo + 2048]]
+            dst = [x[r].tolist() for x, r in zip(state["d"][lo : lo + 2048], real)]
+            weight = [x[r].tolist() for x, r in zip(state["w"][lo : lo + 2048], real)]
+            yield pa.RecordBatch.from_arrays([pa.array(state["id"][lo : lo + 2048]), pa.array(dst, pa.list_(pa.int64())), pa.array(weight, pa.list_(pa.float64()))], ["src", "dst", "weight"])
+
+    return run
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -70,8 +70,9 @@ def parsed_vectors(rows: DataFrame) -> DataFrame:
     head = rows.join(F.broadcast(first), "line_no").select(F.col("tok")[0].cast("long").alias("n"), F.col("tok")[1].cast("int").alias("d"))
     body = rows.join(F.broadcast(first), "line_no", "left_anti")
     count = body.agg(F.count(F.lit(1)).alias("found"))
-    checked = body.crossJoin(F.broadcast(head.crossJoin(count)))
     bad = F.raise_error(F.lit("the vectors don't fit their header"))
+    short = F.when((F.col("found") == 0) & (F.col("n") > 0), bad.cast("long")).otherwise(F.col("found"))  # a header alone has no row to check
+    checked = body.join(F.broadcast(head.crossJoin(count).withColumn("found", short)), how="cross")
     return checked.select(
         F.when((F.size("tok") == F.col("d") + 1) & (F.col("found") == F.col("n")), F.col("tok")[0]).otherwise(bad).alias("id"),
         F.transform(F.expr("slice(tok, 2, greatest(size(tok) - 1, 0))"), lambda x: x.cast("double")).alias("vec"),
@@ -82,16 +83,16 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return parsed_vectors(lines(spark, path))
 
 
-def vector_lines(vectors: DataFrame) -> DataFrame:
-    """Lines ``id v1 ... vd`` after a header ``n d`` (number 0)."""
-    head = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d"))
-    body = vectors.select(F.lit(1).alias("part"), F.concat_ws(" ", F.col("id").cast("string"), F.transform("vec", lambda x: x.cast("string"))).alias("value"))
-    return head.select(F.lit(0).alias("part"), F.concat_ws(" ", "n", "d").alias("value")).unionByName(body)
+def vector_lines(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value): the header ``n d``, and lines ``id v1 ... vd``."""
+    head = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).select(F.concat_ws(" ", "n", "d").alias("value"))
+    return head, vectors.select(F.concat_ws(" ", F.col("id").cast("string"), F.transform("vec", lambda x: x.cast("string"))).alias("value"))
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """A folder of text parts, the header in the first; every part is written by its own task."""
-    vector_lines(vectors).repartitionByRange("part").sortWithinPartitions("part").select("value").write.text(path)
+    """A folder of text parts: the header alone in the first, then the vectors, each of their partitions written by its own task."""
+    head, body = vector_lines(vectors)
+    head.unionByName(body).write.text(path)
 
 
 def write_edgelist(edges: DataFrame, path: str) -> None:

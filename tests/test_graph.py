@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,46 @@ def test_non_edges_are_complete(spark):
     found = rows(structure.non_edges(spark.createDataFrame(path, "u string, v string"), 500))
     assert len(set(found)) == 500 and not set(found) & set(path) and all(u < v for u, v in found)
     assert len(rows(structure.non_edges(spark.createDataFrame(path, "u string, v string"), 10**6))) == 4950 - 99
+
+
+@pytest.mark.parametrize("side", [20_000, 1])
+def test_singular_values_and_vectors(spark, side, monkeypatch):
+    """MLlib's and the subspace iteration's against numpy, on string ids, with rows and columns of no entry."""
+    monkeypatch.setattr(embed, "LOCAL_SIDE", side)
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((30, 30)) < 0.3, rng.standard_normal((30, 30)), 0)
+    dense[7], dense[:, 9] = 0, 0
+    cells = [(f"n{i:02d}", f"n{j:02d}", float(dense[i, j])) for i in range(30) for j in range(30) if dense[i, j]]
+    left, s, right = embed.top_svd(spark.createDataFrame(cells, "i string, j string, v double"), 4)
+    assert np.allclose(s, np.linalg.svd(dense)[1][:4], rtol=1e-5)
+    u, v = np.zeros((30, 4)), np.zeros((30, 4))
+    for side_, table in ((u, left), (v, right)):
+        for r in table.collect():
+            side_[int(r["id"][1:])] = r["vec"]
+    assert np.allclose(u.T @ u, np.eye(4), atol=1e-6) and np.allclose(dense @ v, u * s, atol=2e-3) and np.allclose(dense.T @ u, v * s, atol=2e-3)
+
+
+def test_hope_and_grarep_have_all_nodes(spark):
+    path = spark.createDataFrame([(k, k + 1, 1.0) for k in range(4)], "src long, dst long, weight double")
+    g = PropertyGraph.from_edges(path, spark.createDataFrame([(k,) for k in range(6)], "id long"))
+    found = {r.id: r.vec for r in embed.hope(g, 4).collect()}
+    assert sorted(found) == list(range(6)) and all(len(v) == 4 for v in found.values()) and not any(found[5])
+    two_step = np.zeros((6, 6))
+    two_step[[0, 1, 2], [2, 3, 4]] = 1
+    u, v = np.array([found[k][:2] for k in range(6)]), np.array([found[k][2:] for k in range(6)])
+    assert np.allclose(np.linalg.svd(u @ v.T)[1][:2], 1, atol=1e-6) and np.all(np.abs(u @ v.T)[two_step == 0] < 1e-6)
+    assert sorted(r.id for r in embed.grarep(g, 4, 2).collect()) == list(range(6))
+
+
+def test_vector_files_of_a_header_alone(spark, tmp_path):
+    (tmp_path / "head.txt").write_text("3 2\n")
+    with pytest.raises(Exception, match="header"):
+        graph_files.read_vectors(spark, str(tmp_path / "head.txt")).collect()
+    (tmp_path / "none.txt").write_text("0 0\n")
+    assert graph_files.read_vectors(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_sums_over_ranges(spark):
+    made = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") * 37 % 1000 % 7).alias("n"))
+    found = {r["k"]: r["before_n"] for r in graph.sums_before(made, F.desc("k"), ["n"]).collect()}
+    assert all(found[k] == sum(j % 7 for j in range(k + 1, 1000)) for k in range(0, 1000, 83))
