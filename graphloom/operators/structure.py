@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import draw
@@ -57,35 +57,54 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return inner.crossJoin(F.broadcast(total)).agg(F.sum(term).alias("q"))
 
 
-def louvain(edges: DataFrame, rounds: int = 6, levels: int = 3, seed: int = 23) -> DataFrame:
-    """(id, part): communities by local moves of greatest modularity gain, level by level.
+def louvain(edges: DataFrame, seed: int = 23, patience: int = 4) -> DataFrame:
+    """(id, part): communities by local moves of greatest modularity gain, level by level, until nothing gains.
 
     In a round half of the communities, drawn by a hash, may gain members from the others, so that
-    two nodes never swap places; only moves of positive gain are made.
+    two nodes never swap places; only moves of positive gain are made.  A level ends when no node has
+    such a move, whatever the halves, or when moves made at once have cancelled each other for
+    ``patience`` rounds, with the best partition seen; the search ends with a level that merges nothing.
     """
     graph = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain")
     m2 = graph.agg(F.sum("weight")).first()[0] or 1.0
     whole = stored(graph.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("part")), "parts")
-    for level in range(levels):
-        strength = graph.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-        parts = stored(strength.select("id", F.col("id").alias("part"), "k"), "parts")
-        for turn in range(rounds):
+    turn = 0
+    while True:
+        strength = stored(graph.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "strength")
+        parts = best = strength.select("id", F.col("id").alias("part"), "k")
+        top, since, moved = None, 0, False
+        while True:
+            turn += 1
             sizes = parts.groupBy("part").agg(F.sum("k").alias("s"))
-            near = graph.where("src <> dst").join(parts.select(F.col("id").alias("dst"), F.col("part").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
-            options = near.join(parts, "id").join(sizes.select(F.col("part").alias("to"), F.col("s").alias("st")), "to")
+            near = graph.join(parts.select(F.col("id").alias("dst"), F.col("part").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum(F.when(F.col("src") != F.col("dst"), F.col("weight")).otherwise(0.0)).alias("w"), F.sum("weight").alias("all"))
+            joined = near.join(parts, "id").join(sizes.select(F.col("part").alias("to"), F.col("s").alias("st")), "to")
             own = F.when(F.col("to") == F.col("part"), F.col("k")).otherwise(0.0)
             gain = F.col("w") - F.col("k") * (F.col("st") - own) / m2
-            stay = options.where("`to` = part").select("id", gain.alias("stay"))
-            alone = F.coalesce(F.col("stay"), F.lit(0.0))
-            open_ = F.pmod(F.xxhash64("to", F.lit(seed + turn + 100 * level)), F.lit(2)) == 0
-            closed = F.pmod(F.xxhash64("part", F.lit(seed + turn + 100 * level)), F.lit(2)) == 1
-            moves = options.withColumn("gain", gain).join(stay, "id", "left").where((F.col("to") != F.col("part")) & open_ & closed & (F.col("gain") > alone + 1e-12))
-            best = moves.groupBy("id").agg(F.max(F.struct("gain", F.col("to"))).alias("b")).select("id", F.col("b.to").alias("next"))
-            parts = stored(parts.join(best, "id", "left").select("id", F.coalesce("next", "part").alias("part"), "k"), "parts")
-        whole = stored(whole.join(parts.select(F.col("id").alias("part"), F.col("part").alias("next")), "part", "left").select("id", F.coalesce("next", "part").alias("part")), "parts")
-        a, b = parts.select(F.col("id").alias("src"), F.col("part").alias("_s")), parts.select(F.col("id").alias("dst"), F.col("part").alias("_d"))
+            # a node without links into its own community gains by leaving it
+            stay = F.max(F.when(F.col("to") == F.col("part"), gain)).over(Window.partitionBy("id"))
+            left = sizes.select("part", F.col("s").alias("sp"))
+            alone = F.coalesce(F.col("stay"), -F.col("k") * (F.col("sp") - F.col("k")) / m2)
+            options = joined.withColumn("gain", gain).withColumn("stay", stay).join(left, "part")
+            options = stored(options.withColumn("gains", (F.col("to") != F.col("part")) & (F.col("gain") > alone + 1e-12)), "options")
+            squares = sizes.agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+            found = options.agg(F.sum(F.when(F.col("to") == F.col("part"), F.col("all"))).alias("within"), F.count(F.when(F.col("gains"), 1)).alias("gaining")).crossJoin(F.broadcast(squares)).first()
+            quality = (found["within"] or 0.0) / m2 - (found["q"] or 0.0) / (m2 * m2)
+            if top is None or quality > top + 1e-10:
+                top, best, since = quality, parts, 0
+            else:
+                since += 1
+            if since >= patience or not found["gaining"]:
+                break
+            open_ = F.pmod(F.xxhash64("to", F.lit(seed + turn)), F.lit(2)) == 0
+            closed = F.pmod(F.xxhash64("part", F.lit(seed + turn)), F.lit(2)) == 1
+            next_ = options.where(F.col("gains") & open_ & closed).groupBy("id").agg(F.max(F.struct("gain", F.col("to"))).alias("b")).select("id", F.col("b.to").alias("next"))
+            parts = stored(parts.join(next_, "id", "left").select("id", F.coalesce("next", "part").alias("part"), "k"), "parts")
+            moved = True
+        whole = stored(whole.join(best.select(F.col("id").alias("part"), F.col("part").alias("next")), "part", "left").select("id", F.coalesce("next", "part").alias("part")), "parts")
+        if not moved or best.where("id <> part").isEmpty():
+            return whole
+        a, b = best.select(F.col("id").alias("src"), F.col("part").alias("_s")), best.select(F.col("id").alias("dst"), F.col("part").alias("_d"))
         graph = stored(graph.join(a, "src").join(b, "dst").groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
-    return whole
 
 
 def without_edges(edges: DataFrame, others: DataFrame) -> DataFrame:

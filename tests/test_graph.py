@@ -263,3 +263,24 @@ def test_sums_over_ranges(spark):
     made = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") * 37 % 1000 % 7).alias("n"))
     found = {r["k"]: r["before_n"] for r in graph.sums_before(made, F.desc("k"), ["n"]).collect()}
     assert all(found[k] == sum(j % 7 for j in range(k + 1, 1000)) for k in range(0, 1000, 83))
+
+
+def test_louvain_ends_where_no_move_gains(spark):
+    """A ring of cliques: no single node can gain by moving to another community, and each clique is whole."""
+    links = [(8 * c + a, 8 * c + b) for c in range(12) for a in range(8) for b in range(a)] + [(8 * c, 8 * ((c + 1) % 12) + 1) for c in range(12)]
+    edges = graph.symmetrized(spark.createDataFrame([(f"v{a}", f"v{b}", 1.0) for a, b in links], "src string, dst string, weight double"))
+    part = {r["id"]: r["part"] for r in structure.louvain(edges).collect()}
+    assert len(part) == 96 and all(len({part[f"v{8 * c + a}"] for a in range(8)}) == 1 for c in range(12))
+    degree, m2 = collections.Counter(), 2 * len(links)
+    near = collections.defaultdict(collections.Counter)
+    for a, b in links:
+        for x, y in ((a, b), (b, a)):
+            degree[x] += 1
+            near[x][part[f"v{y}"]] += 1
+    total = collections.Counter()
+    for v, d in degree.items():
+        total[part[f"v{v}"]] += d
+    for v, d in degree.items():
+        own = part[f"v{v}"]
+        stay = near[v][own] - d * (total[own] - d) / m2
+        assert all(n - d * total[p] / m2 <= stay + 1e-9 for p, n in near[v].items() if p != own)
