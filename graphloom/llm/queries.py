@@ -40,7 +40,7 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.format_pairs(chat.neighbours(_table(spark, folder, "conversations")))
+    return chat.spelled(chat.format_pairs(chat.neighbours(_table(spark, folder, "conversations"))))
 
 
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

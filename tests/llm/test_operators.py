@@ -216,13 +216,55 @@ def test_quality_without_labels_keeps_all(spark, docs, none):
 
 def test_chat_prefix(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (0, 3, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "x"), (1, 3, "assistant", "bad"), (2, 0, None, None), (2, None, "user", "late"), (None, 0, "user", "lost"), (4, 0, "user", "r"), (4, 0, "user", "r"), (5, 0, "user", "r")]
-    found = chat.format_pairs(chat.neighbours(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    sides = chat.neighbours(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    found = chat.segments(sides).collect()
     first = sorted((r["segment"], r["turn"], r["loss"]) for r in found if r["pair_id"] == 0)
     assert first == [("chosen", 3, 1), ("prompt", 0, 0), ("prompt", 1, 0), ("prompt", 2, 0), ("rejected", 3, 1)]
     assert {(r["segment"], r["times"]) for r in found if r["pair_id"] == 2} == {("chosen", 2), ("rejected", 1)}
     assert {r["segment"] for r in found if r["pair_id"] == 1} == {"chosen"} and len(found) == 9
 
 
+def brute_pairs(turns):
+    """{(pair, part): (prompt, chosen, rejected, the texts under loss)} by the written rules."""
+    sides = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            sides[conv // 2][conv % 2][chat.LAST if turn is None else turn, role or "user", text or ""] += 1
+    out = collections.defaultdict(lambda: [[], [], [], [], []])
+    for pair, (a, b) in sides.items():
+        cut = min((t[0] for t in {*a, *b} if a[t] != b[t]), default=math.inf)
+        for t in sorted({*a, *b}):
+            row = out[pair, None if t[0] == chat.LAST else t[0] // chat.PART_TURNS]
+            whole = f"<|im_start|>{t[1]}\n{t[2]}<|im_end|>\n"
+            for k, there in enumerate((t[0] < cut, t[0] >= cut and a[t], t[0] >= cut and b[t])):
+                if there:
+                    row[k].append(whole)
+                    if k and t[1] == "assistant":
+                        row[2 + k].append(f"{t[2]}<|im_end|>")
+    return {k: ("".join(p), "".join(c), "".join(r), x, y) for k, (p, c, r, x, y) in out.items()}
+
+
+def test_chat_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    turns = []
+    for pair in range(40):
+        shared, n = rng.integers(0, 5), rng.integers(1, 8)
+        for side in range(2 if pair % 5 else 1):
+            for t in range(n):
+                text = f"{'same' if t < shared else 'own%d' % side} {t} é😀" if rng.random() < 0.95 else None
+                turns.append((2 * pair + side, t if rng.random() < 0.97 else None, ("user", "assistant")[t % 2] if rng.random() < 0.95 else None, text))
+    turns += [turns[3], turns[3], (None, 1, "user", "lost"), (100, 0, "user", "x" * 300_000), (101, 0, "user", "x" * 300_000), (101, 1, "assistant", "y" * 500_000)]
+    turns += [(c, t, ("user", "assistant")[t % 2], f"long {t}" if t < 9000 else f"end {c}") for c in (200, 201) for t in range(9005)]
+    extra = spark.createDataFrame([(*t, 5, "s") for t in turns], "conv_id int, turn int, role string, text string, n long, segment string").repartition(3)
+    found = chat.format_pairs(chat.neighbours(extra)).collect()
+    got = {}
+    for r in found:
+        under = [[r[side][x["start"] : x["end"]] for x in r[f"{side}_loss"]] for side in ("chosen", "rejected")]
+        got[r["pair_id"], r["part"]] = (r["prompt"], r["chosen"], r["rejected"], *under)
+    assert len(found) == len(got) and got == brute_pairs(turns)
+    assert [p for i, p in sorted(got, key=str) if i == 100] == [0, 1, 2]
+
+
 def test_dedup_against_brute_force(docs):
     found = dedup.dedup(docs).collect()
     groups = collections.defaultdict(list)
