@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import re
+import textwrap
 import time
 import zlib
 from fractions import Fraction
@@ -525,6 +526,110 @@ def test_licences():
     assert licences.matched(names) == ["MIT", "BSD-2-Clause"] and licences.matched(names[::-1]) == ["MIT"]
 
 
+def brute_licences(text):
+    """By plain search: known sentences in the words of the text, longest first at each place, then the rules."""
+    cut = re.sub(r"(?<=[.!?;:])\s+|\n", "\0", text or "")  # sentence ends
+    parts = [w for w in (re.sub("[^0-9a-z]+", " ", p.lower()).strip() for p in cut.split("\0")) if w]
+    known = {re.sub("[^0-9a-z]+", " ", t.lower()).strip(): name for name, t in licences.SENTENCES.items()}
+    names, k = [], 0
+    while k < len(parts):
+        hits = [j for j in range(k + 1, min(k + 60, len(parts)) + 1) if " ".join(parts[k:j]) in known]
+        if hits:
+            names.append(known[" ".join(parts[k : hits[-1]])])
+        k = hits[-1] if hits else k + 1
+    free, found = list(names), []
+    for licence, sequence in licences.RULES:
+        while True:
+            places, at = [], -1
+            for name in sequence:
+                at = next((p for p in range(at + 1, len(free)) if free[p] == name), None)
+                if at is None:
+                    break
+                places.append(at)
+            if len(places) < len(sequence):
+                break
+            found.append((places[0], licence))
+            for p in places:
+                free[p] = None
+    return " ".join(names), " ".join(licence for _, licence in sorted(found)), len(names)
+
+
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+
+
+def test_licence_scan_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    order, texts = list(licences.SENTENCES), []
+    for _, rule in licences.RULES:  # each rule's sentences in order, out of order, wrapped and among prose
+        sentences = [licences.SENTENCES[name] for name in rule]
+        texts += [" ".join(sentences), "\n * ".join(sentences), wrapped("Some words. " + " More words. ".join(sentences), 60), " ".join(sentences[::-1]).upper()]
+    for _ in range(120):
+        names = rng.choice(order, rng.integers(0, 6))
+        texts.append(wrapped(prose(9) + ". " + f". {prose(5)}. ".join(licences.SENTENCES[n] for n in names), int(rng.integers(30, 200))))
+    texts += [None, "", prose(60_000) + ".\n" + licences.SENTENCES["mpl2"], "licence " * 200_000, "permission.\n" * 100_000, licences.SENTENCES["mit-notice"][:-20]]
+    rows = [(k, t, "x", 3) for k, t in enumerate(texts)] + [(0, texts[0], "x", 3), (None, texts[4], "x", 3)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, licences string, n_sentences int").repartition(4)).collect()
+    got = collections.Counter((r["doc_id"], r["sentences"], r["licences"], r["n_sentences"]) for r in found)
+    assert got == collections.Counter((i, *brute_licences(t)) for i, t, *_ in rows)
+
+
+# Whole texts of short licences, as published.
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+GPL3_HEAD = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+"""
+
+
+@pytest.mark.parametrize("text, licence", [(MIT, "MIT"), (ZLIB, "Zlib"), (GPL3_HEAD, "GPL-3.0")])
+def test_whole_licence_texts(text, licence):
+    known = licences.table()
+    assert licences.matched([n for _, n in licences.identifiers(text, known, max(map(len, known)))]) == [licence]
+
+
 def test_licence_scan_of_odd_rows(docs, none):
     found = licences.scan(docs).collect()
     assert len(found) == len(corpus()) and not any(r["n_sentences"] for r in found) and licences.scan(none).count() == 0
