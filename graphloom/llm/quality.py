@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import words, workspace
+from graphloom.operators.skew import join_totals
 
 FEATURES = (
     "log_words", "distinct_words", "distinct_grams", "capitals", "digits", "symbols", "word_length",
@@ -127,20 +128,19 @@ def score(
     """doc_id, host, path, evidence, host_quality, path_quality, quality, keep and ``also`` for each row of ``docs``.
 
     ``labels`` has doc_id and quality (0 or 1); nulls there are ignored, several labels of an id are
-    averaged.  At most ``labelled`` of them, chosen by a hash of the id, are fitted.  Without labels
-    of both kinds the evidence is even.  host defaults to ``source`` and path to ``lang``; nulls
-    are sites of their own.  A null text counts as empty.  Rows of one id are all scored; an empty
-    table gives no rows; further columns than ``also`` are ignored.
+    averaged.  At most ``labelled`` of them, the first by a hash of the id, are fitted.  Without labels
+    of both kinds the evidence is even.  host defaults to ``source`` and path to ``lang``, for the
+    documents have no address; with one, give ``host_of`` and ``path_of`` of it.  Nulls are sites of
+    their own.  A null text counts as empty, texts of any length are read whole.  Rows of one id are
+    all scored; an empty table gives no rows; further columns than ``also`` are ignored.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     own = [F.col("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), *also]
     seen = workspace.keep(evidence_features(docs, own), "quality-features")
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    n = marks.count()
-    if n > labelled:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * labelled / n)).limit(labelled)
-    rows = seen.join(marks, "doc_id").select("doc_id", "features", "y").orderBy(F.xxhash64("doc_id")).limit(labelled).collect()
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = seen.join(marks, "doc_id").select("doc_id", "features", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(labelled).collect()
     y = np.array([r["y"] for r in rows])
     if len(rows) and 0 < y.mean() < 1:
         weights, base = fit_logistic(np.array([r["features"] for r in rows]), y), float(y.mean())
@@ -152,26 +152,50 @@ def score(
     logit = F.least(F.greatest(logit, F.lit(-12.0)), F.lit(12.0))
     scored = seen.withColumn("evidence", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
 
-    paths = workspace.keep(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pn"), F.sum("evidence").alias("ps")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("ps").alias("hs"))
+    return combined(scored, base, threshold, also)
+
+
+def _site(*names: str) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("")).alias(f"_{name}") for name in names]
+
+
+def combined(scored: DataFrame, base: float, threshold: float = 0.5, also: tuple[str, ...] = ()) -> DataFrame:
+    """``score`` from (doc_id, host, path, evidence); ``base`` is the share of good documents that the evidence was fitted at.
+
+    Sites are summed by partial aggregation; rows of large sites meet their sums in their own tasks.
+    """
+    keyed = scored.select("*", *_site("host", "path"))
+    paths = workspace.keep(keyed.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("pn"), F.sum("evidence").alias("ps")), "quality-paths")
+    hosts = paths.groupBy("_host").agg(F.sum("pn").alias("hn"), F.sum("ps").alias("hs"), F.count(F.lit(1)).alias("sites"))
     whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count(F.lit(1)).alias("k"), F.sum(F.col("hn").cast("double") * F.col("hn")).alias("q"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("r")).first()
     total = float(whole["n"] or 0)
     rate = min(max((whole["s"] or 0.0) / total, 1e-6), 1 - 1e-6) if total else 0.5
     a = _strength(total, whole["k"], whole["q"] or 0.0, total, (whole["r"] or 0.0) - total * rate * rate, rate)
-    hosts = hosts.withColumn("host_quality", (F.col("hs") + a * rate) / (F.col("hn") + a))
-    sites = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "host_quality")
+    hosts = workspace.keep(hosts.select("_host", "sites", ((F.col("hs") + a * rate) / (F.col("hn") + a)).alias("host_quality")), "quality-hosts")
+    sites = workspace.keep(join_totals(paths, hosts, ["_host"], "sites", paths.count()).drop("sites"), "quality-sites")
     within = sites.agg(F.sum((F.col("ps") / F.col("pn") - F.col("host_quality")) ** 2 * F.col("pn")).alias("r"), F.count(F.lit(1)).alias("k"), F.sum(F.col("pn").cast("double") * F.col("pn")).alias("q")).first()
     b = _strength(total, within["k"], within["q"] or 0.0, total, within["r"] or 0.0, rate)
 
-    joined = scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
+    joined = join_totals(keyed, sites, ["_host", "_path"], "pn", int(total))
     path_quality = (F.col("ps") - F.col("evidence") + F.col("host_quality") * b) / (F.col("pn") - 1 + b)
     path_quality = F.least(F.greatest(path_quality, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = _logit(F.col("evidence")) - float(np.log(base / (1 - base))) + _logit(F.col("path_quality"))
     return (
         joined.withColumn("path_quality", path_quality)
         .withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
-        .select("doc_id", "d.host", "d.path", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("keep"), *also)
+        .select("doc_id", "host", "path", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("keep"), *also)
     )
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without a port; null where there is none."""
+    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1), F.lit("")))
+
+
+def path_of(url: Column) -> Column:
+    """The first folder of an address, ``/`` where it has none; null where there is no host."""
+    folder = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+(/[^/?#]+)/", 1)
+    return F.when(host_of(url).isNotNull(), F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")))
+
+
 workspace.ship("graphloom.llm.words", __name__)

@@ -215,6 +215,71 @@ def test_quality_without_labels_keeps_all(spark, docs, none):
     assert quality.score(none, labels).count() == 0
 
 
+def brute_posteriors(rows, base):
+    """(host_quality, path_quality, quality) of rows (host, path, evidence) by the written rules."""
+    e = [x for *_, x in rows]
+    n, rate = len(rows), min(max(sum(e) / len(rows), 1e-6), 1 - 1e-6)
+
+    def sums(keys):
+        count, total = collections.Counter(keys), collections.Counter()
+        for k, x in zip(keys, e):
+            total[k] += x
+        return count, total
+
+    def strength(count, spread):
+        k, squares = len(count), sum(c * c for c in count.values())
+        between = (spread - (k - 1) * rate * (1 - rate)) / max(n - squares / n, 1e-9) if k > 1 else 0
+        return min(max(rate * (1 - rate) / between - 1, 1), 1e6) if between > 0 else 1e6
+
+    hn, hs = sums([h for h, *_ in rows])
+    a = strength(hn, sum(hs[h] ** 2 / hn[h] for h in hn) - n * rate * rate)
+    host = {h: (hs[h] + a * rate) / (hn[h] + a) for h in hn}
+    pn, ps = sums([(h, p) for h, p, _ in rows])
+    b = strength(pn, sum(pn[k] * (ps[k] / pn[k] - host[k[0]]) ** 2 for k in pn))
+    out = []
+    for h, p, x in rows:
+        path = min(max((ps[h, p] - x + b * host[h]) / (pn[h, p] - 1 + b), 1e-6), 1 - 1e-6)
+        odds = math.log(x / (1 - x)) - math.log(base / (1 - base)) + math.log(path / (1 - path))
+        out.append((host[h], path, 1 / (1 + math.exp(-odds))))
+    return out, host, a, b
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.3])
+def test_quality_posteriors_against_brute_force(spark, spread):
+    """One host has a third of all rows; nulls are sites; sparse sites are drawn to the mean where sites are alike."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(1500):
+        host = "big" if k % 3 == 0 else None if k % 50 == 1 else f"h{int(rng.integers(0, 60) ** 2 / 60)}"
+        path = None if k % 7 == 0 else f"p{rng.integers(0, 4)}"
+        mean = 0.6 if host is None else 0.6 + spread * math.sin(len(host) * 5 + ord(host[-1]))
+        rows.append((host, path, float(np.clip(rng.beta(8 * mean, 8 * (1 - mean)), 1e-4, 1 - 1e-4))))
+    made = spark.createDataFrame([(k, *r, 1) for k, r in enumerate(rows)], "doc_id long, host string, path string, evidence double, n int")
+    found = sorted(quality.combined(made, 0.7, 0.5, ("n",)).collect())
+    want, host, a, _ = brute_posteriors(rows, 0.7)
+    assert len(found) == len(rows)
+    for r, (h, p, q) in zip(found, want):
+        assert np.allclose((r["host_quality"], r["path_quality"], r["quality"]), (h, p, q), rtol=1e-7) and (r["keep"] == (q >= 0.5) or abs(q - 0.5) < 1e-9) and r["n"] == 1
+    assert (a > 100) == (spread == 0.0)  # alike sites are shrunk strongly
+    sparse = [h for h, _ in collections.Counter(h for h, *_ in rows).most_common()[-6:]]
+    means = {h: np.mean([x for g, _, x in rows if g == h]) for h in sparse}
+    rate = np.mean([x for *_, x in rows])
+    assert all(abs(host[h] - rate) <= abs(means[h] - rate) + 1e-12 for h in sparse)
+
+
+def test_hosts_and_paths_of_addresses(spark):
+    urls = {"https://A.example.org/blog/x.html": ("a.example.org", "/blog"), "http://user@b.example:80/x": ("b.example", "/"), "ftp://c.example": ("c.example", "/"), "no address": (None, None), "": (None, None), None: (None, None), "https://d.example?q=/a/b": ("d.example", "/")}
+    made = spark.createDataFrame([(u,) for u in urls], "url string").select("url", quality.host_of(F.col("url")).alias("h"), quality.path_of(F.col("url")).alias("p"))
+    assert {r["url"]: (r["h"], r["p"]) for r in made.collect()} == urls
+
+
+def test_quality_of_pages_by_their_addresses(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    found = quality.score(pages, labels, quality.host_of(F.col("url")), quality.path_of(F.col("url")), labelled=20).collect()
+    assert len(found) == pages.count() and all(r["host"] and r["path"].startswith("/") for r in found)
+
+
 def test_chat_prefix(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (0, 3, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "x"), (1, 3, "assistant", "bad"), (2, 0, None, None), (2, None, "user", "late"), (None, 0, "user", "lost"), (4, 0, "user", "r"), (4, 0, "user", "r"), (5, 0, "user", "r")]
     sides = chat.neighbours(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
