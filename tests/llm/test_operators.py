@@ -744,3 +744,77 @@ def test_pipeline_decides_by_row(spark):
     made = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], made.schema)
     stayed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, made, "").collect()]
     assert sorted(stayed, key=str) == sorted([rows[0], rows[3], *rows[5:]], key=str)
+
+
+def brute_mix(rows):
+    """{row: copies} for rows (doc_id, text, source) with ids of their own, by the written rules."""
+    size = {k: len(re.findall(mixing.WORD, t or "")) for k, t, _ in rows}
+    sources = collections.Counter()
+    for k, _, s in rows:
+        sources[s] += size[k]
+    goal = filled(dict(sources))
+    turns, out = mixing.ROTATIONS, {}
+    for s in sources:
+        rate = goal[s] / sources[s] if sources[s] else 0.0
+        whole, part = int(rate), int((rate - int(rate)) * 2**32)
+        mine = [k for k, _, x in rows if x == s]
+        first = {k: int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) for k in mine}
+        tries = [{k: whole + ((first[k] + t * (2**32 // turns)) % 2**32 < part) for k in mine} for t in range(turns)]
+        out |= min(tries, key=lambda c: abs(sum(size[k] * n for k, n in c.items()) - goal[s]))  # the first of the nearest
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tokenizer):
+    """Every stage on what the one before kept, then run() as a whole."""
+    rng = np.random.default_rng(21)
+    lex = ["alpha", "river", "stone", "morning", "quiet", "harbour", "winter", "letter", "garden", "window", "market", "story", "evening", "bridge", "teacher"]
+    text = lambda n: " ".join(rng.choice(lex, n)) + "."
+    good = [text(int(rng.integers(60, 200))) for _ in range(60)]
+    junk = [" ".join(rng.choice(["@@", "##", "$1", "%%%", "7", "&&", "!!"], 40)) for _ in range(25)]
+    near = [t.replace(t.split()[5], "changed", 1) for t in good[:8]]
+    rows = [(k, t) for k, t in enumerate(good + junk)] + [(200 + k, t) for k, t in enumerate(near)] + [(300 + k, t.replace(" ", "  \n", 2)) for k, t in enumerate(good[4:12])]
+    rows += [(400, text(3000)), (401, None)]
+    made = [(k, t, ("en", "de", None)[k % 3], ("a", "b", "c", None)[k % 4], None, "clash") for k, t in rows]
+    folder = workspace.folder(spark, "test-pipeline")
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, keep string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 60), 0) for k in range(85) if k % 3], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    text_of, source_of = dict(rows), {k: ("a", "b", "c", None)[k % 4] for k, _ in rows}
+
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        now = workspace.keep(stage(spark, now, folder), "test-stage")
+        kept.append(now.select("doc_id").collect() if name != "best-fit packing" else now.collect())
+        assert name == "best-fit packing" or now.columns == list(corpus_pipeline.COLUMNS)
+    judged = quality.score(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    first = sorted(r["doc_id"] for r in judged if r["keep"])
+    assert [sorted(r[0] for r in x) for x in kept[:1]] == [first] and not set(first) & set(range(60, 85)) and set(range(60)) <= set(first)
+
+    groups = collections.defaultdict(list)
+    for k in first:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", text_of[k] or "")].append(k)
+    second = sorted(min(g) for g in groups.values())
+    assert sorted(r[0] for r in kept[1]) == second and not set(second) & set(range(300, 308))
+
+    sets, third = {k: shingles(text_of[k]) for k in second}, set(second)
+    for k in second:  # links here are between a document and its one near copy
+        third -= {j for j in second if j > k and sets[k] and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j])}
+    assert sorted(r[0] for r in kept[2]) == sorted(third) and len(third) < len(second)
+
+    copies = brute_mix([(k, text_of[k], source_of[k]) for k in sorted(third)])
+    fourth = sorted(k for k, n in copies.items() for _ in range(n))
+    assert sorted(r[0] for r in kept[3]) == fourth
+
+    want = collections.Counter()
+    for k in fourth:
+        ids = ids_of(tokenizer, text_of[k]) + [1]
+        want.update((k, j // 4096, j, len(ids[j : j + 4096]), crc(ids[j : j + 4096])) for j in range(0, len(ids), 4096))
+    for result in (kept[4], corpus_pipeline.run(spark, folder).collect()):
+        assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in result) == want
+        ends = collections.defaultdict(list)
+        for r in result:
+            ends[r["sequence_id"]].append((r["offset"], r["length"]))
+        for pieces in ends.values():
+            pieces.sort()
+            assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:j]) for j in range(len(pieces))] and sum(n for _, n in pieces) <= 4096
+        assert len(ends) <= -(-sum(n for p in ends.values() for _, n in p) // 4096) + 2
