@@ -17,6 +17,10 @@ from graphloom.operators import evaluate, matrix
 from graphloom.plans.storage import stored
 
 
+#: Graphs of at most this many bytes are trained in one process.
+LOCAL_BYTES = 128 << 20
+
+
 def supports(*matrices: DataFrame) -> DataFrame:
     """(i, j, s, v): the matrices one after the other, numbered by s."""
     rows = None
@@ -61,10 +65,16 @@ def train_convolution(
     The loss is the mean cross-entropy of train nodes plus decay / 2 times the squares of the first
     layer.  Training ends when a val loss exceeds the mean of the ``patience`` before it.  Rows of
     features must be equally long; ids must not repeat.
+
+    A graph whose features, supports and marks take at most ``LOCAL_BYTES`` is trained in one process,
+    by the same steps with the same draws; a larger one by joins and sums over partitions.
     """
     features, held, marks = stored(features.select("id", "features"), "features"), stored(held, "supports"), stored(marks.select("id", "y", "part"), "marks")
     width = features.agg(F.max(F.size("features"))).first()[0]
     count = held.agg(F.max("s")).first()[0] + 1
+    cells, arcs, marked = features.count() * width, held.count(), marks.count()
+    if 8 * cells + 32 * arcs + 16 * marked <= LOCAL_BYTES:
+        return _train_local(features, held, marks, width, count, classes, hidden, epochs, rate, decay, dropout, patience, seed)
     n = marks.where("part = 'train'").count()
     rng, adam, history = np.random.default_rng(seed), Adam(rate), []
     w0 = np.hstack([glorot(rng, width, hidden) for _ in range(count)])
@@ -128,6 +138,82 @@ def train_convolution(
     return z0.select("id", relu.alias("hidden")).join(z1.select("id", N.softmax(F.col("z")).alias("probs")), "id"), history
 
 
+def _train_local(
+    features: DataFrame, held: DataFrame, marks: DataFrame, width: int, count: int, classes: int, hidden: int, epochs: int, rate: float,
+    decay: float, dropout: float, patience: int, seed: int,
+) -> tuple[DataFrame, list[dict]]:
+    """``train_convolution`` on tables of checked size."""
+    spark = features.sparkSession
+    table = features.toArrow().sort_by("id")
+    ids = table["id"].to_numpy()
+    x = table["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
+    place = lambda column: np.searchsorted(ids, column)
+    known = lambda column: np.isin(column, ids)
+    parts = held.toArrow()
+    s, i, j, v = (parts[c].to_numpy() for c in ("s", "i", "j", "v"))
+    mats = []
+    for k in range(count):
+        mine = (s == k) & known(i) & known(j)
+        mats.append((place(i[mine]), place(j[mine]), v[mine]))
+    told = marks.toArrow()
+    mine = known(told["id"].to_numpy()) & told["y"].is_valid().to_numpy()
+    at, y, part = place(told["id"].to_numpy()[mine]), told["y"].to_numpy()[mine].astype(int), np.array(told["part"].to_pylist())[mine]
+    goal = np.zeros((len(ids), classes))
+    goal[at, y] = 1
+    train = np.zeros(len(ids), bool)
+    train[at[part == "train"]] = True
+
+    def summed(to: np.ndarray, by: np.ndarray, v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        order = np.argsort(to, kind="stable")
+        out = np.zeros((len(ids), rows.shape[1]))
+        if len(order):
+            cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+            out[to[order][cut]] = np.add.reduceat(v[order, None] * rows[by[order]], cut, axis=0)
+        return out
+
+    def spread(rows: np.ndarray, wide: int) -> np.ndarray:
+        return sum(summed(to, by, v, rows[:, k * wide : (k + 1) * wide]) for k, (to, by, v) in enumerate(mats))
+
+    def gathered(rows: np.ndarray) -> np.ndarray:
+        return np.hstack([summed(by, to, v, rows) for to, by, v in mats])
+
+    def soft(z: np.ndarray) -> np.ndarray:
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    rng, adam, history = np.random.default_rng(seed), Adam(rate), []
+    w0 = np.hstack([glorot(rng, width, hidden) for _ in range(count)])
+    w1 = np.hstack([glorot(rng, hidden, classes) for _ in range(count)])
+
+    def forward(drop: float, turn: int) -> tuple[np.ndarray, ...]:
+        a = x * kept(ids, width, drop, 2 * turn) if drop else x
+        z0 = spread(a @ w0, hidden)
+        mask = kept(ids, hidden, drop, 2 * turn + 1) if drop else np.ones_like(z0)
+        b = np.maximum(z0, 0) * mask
+        return a, z0, mask, b, spread(b @ w1, classes)
+
+    def measured(p: np.ndarray) -> dict:
+        out = {}
+        for name in np.unique(part):
+            rows, wanted = at[part == name], y[part == name]
+            key = "" if name == "train" else name + "_"
+            out |= {f"{key}loss": float(-np.log(np.maximum(p[rows, wanted], 1e-300)).mean()), f"{key}acc": float((p[rows].argmax(1) == wanted).mean())}
+        return out
+
+    for turn in range(1, epochs + 1):
+        a, z0, mask, b, z1 = forward(dropout, turn)
+        back = gathered(np.where(train[:, None], soft(z1) - goal, 0.0) / max(train.sum(), 1))
+        down = gathered((back @ w1.T) * mask * (z0 > 0))
+        adam.move([w0, w1], [a.T @ down + decay * w0, b.T @ back])
+        history.append({"epoch": turn - 1} | measured(soft(forward(0.0, 0)[4] if dropout else z1)))
+        past = [h.get("val_loss") for h in history]
+        if patience and len(past) > patience and past[-1] is not None and past[-1] > np.mean(past[-patience - 1 : -1]):
+            break
+    _, z0, _, _, z1 = forward(0.0, 0)
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
+    return spark.createDataFrame(pa.table({"id": ids, "hidden": lists(np.maximum(z0, 0)), "probs": lists(soft(z1))})), history
+
+
 def gcn(edges: DataFrame, features: DataFrame, marks: DataFrame, classes: int, **more) -> tuple[DataFrame, list[dict]]:
     """Convolutions over the renormalised adjacency; features are scaled to sum 1."""
     return _convolved([matrix.renormalised(matrix.matrix(edges), features.select("id"))], features, marks, classes, more)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -181,7 +182,11 @@ def largest_component(spark, folder):
     return structure.largest_component(_strong(spark, folder))
 
 
-@query()
+# an edge is in the forest if no path of lesser edges, in the order of (weight, u, v), joins its ends
+@query(f"""with recursive {KNN}, e as (select least(src, dst) as u, greatest(src, dst) as v, max(round(1.0 - sim, 6) + 0.0) as weight from knn group by all),
+    arcs as (select u as a, v as b, * from e union all select v, u, * from e),
+    reach(u, v, weight, node) as (select u, v, weight, u from e union select r.u, r.v, r.weight, a.b from reach r join arcs a on a.a = r.node where (a.weight, a.u, a.v) < (r.weight, r.u, r.v))
+    select u, v, weight from e where not exists (select 1 from reach r where r.u = e.u and r.v = e.v and r.node = e.v)""")
 def minimum_spanning_forest(spark, folder):
     costs = knn(spark, folder).select("src", "dst", N.r6(1.0 - F.col("sim")).alias("weight"))
     return structure.spanning_forest(costs)
@@ -595,6 +600,70 @@ def edgelist_roundtrip(spark, folder):
 # ---- embeddings; not expressible in SQL ----
 
 
+WEIGHTS = "(({k} * 7 + {h} * 3) % 11 - 5) / 10.0"
+
+
+@query(f"""with {HAT}, {VEC}, a as (select id, h, sum(x * {WEIGHTS.format(k='k', h='h')}) as x from vec, (select unnest(range(4))::int as h) group by all),
+    z as (select i as id, h, greatest(sum(v * x), 0) as x from hat join a on a.id = j group by all), b as (select id, c, sum(x * {WEIGHTS.format(k='h', h='c')}) as x from z, (select unnest(range(3))::int as c) group by all),
+    o as (select i as id, c, sum(v * x) as x from hat join b on b.id = j group by all) select id, c, round(exp(x - m) / sum(exp(x - m)) over (partition by id), 6) + 0.0 as prob from (select *, max(x) over (partition by id) as m from o)""")
+def gcn_forward_fixed_weights(spark, folder):
+    """Two convolutions with given weights: (id, c, prob)."""
+    hat = _hat(spark, folder)
+
+    def times(rows: DataFrame, wide: int) -> DataFrame:
+        weight = ((F.col("k") * 7 + F.col("h") * 3) % 11 - 5) / 10.0
+        spread = rows.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+        return spread.groupBy("id", F.col("h").alias("k2")).agg(F.sum(F.col("x") * weight).alias("x")).withColumnRenamed("k2", "k")
+
+    hidden = matrix.times_dense(hat, times(_vectors(spark, folder), 4)).withColumn("x", F.greatest("x", F.lit(0.0)))
+    out = matrix.times_dense(hat, times(hidden, 3)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("z"))
+    return _rounded(out.select("id", F.posexplode(N.softmax(F.col("z.x"))).alias("c", "prob")), "prob")
+
+
+@query(f"""with {DOTS}, g as (select src, unnest(cast(b.embedding as double[])) * (d - w) as x, unnest(range(len(b.embedding)))::int as k from dots join embeddings b on b.vec_id = dst),
+    own as (select vec_id as src, unnest(cast(embedding as double[])) * 0.01 as x, unnest(range(len(embedding)))::int as k from embeddings where vec_id in (select src from dots))
+    select src as id, k, round(sum(x), 6) + 0.0 as g from (select * from g union all select * from own) group by src, k""")
+def gf_gradient(spark, folder):
+    """The gradient of graph factorisation at given vectors: (id, k, g)."""
+    rows = _dots(spark, folder)
+    pulls = rows.withColumn("e", F.col("d") - F.col("weight")).select(F.col("src").alias("id"), F.posexplode(F.transform("b", lambda x: x.cast("double") * F.col("e"))).alias("k", "g"))
+    held = _vectors(spark, folder).join(rows.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("id", "k", (F.col("x") * 0.01).alias("g"))
+    return _rounded(pulls.unionByName(held).groupBy("id", "k").agg(F.sum("g").alias("g")), "g")
+
+
+@query(f"""with {TRADE}, sides as (select src, dst, max(w) as w from (select src, dst, w from trade union all select dst, src, w from trade) where src <> dst group by all), d as (select src as id, sum(w) as d from sides group by src),
+    l as (select id as i, id as j, 1.0::double as v from d union all select src, dst, -w / sqrt(a.d) / sqrt(b.d) from sides join d a on a.id = src join d b on b.id = dst),
+    l2 as (select a.i, b.j, sum(a.v * b.v) as v from l a join l b on a.j = b.i group by all)
+    select (select count(*) from d) as n, round((select sum(v) from l where i = j), 5) + 0.0 as first, round((select sum(v) from l2 where i = j), 5) + 0.0 as second, round((select sum(a.v * b.v) from l2 a join l b on a.j = b.i and a.i = b.j), 5) + 0.0 as third""")
+def lap_eigenvalues(spark, folder):
+    """All eigenvalues of the normalised Laplacian, by the sums of their first three powers, which are traces."""
+    both = graph.symmetrized(trade(spark, folder).where("src <> dst"))
+    n = _nodes(both).count()
+    _, values, _ = embed.top_svd(matrix.laplacian(matrix.matrix(both), _nodes(both)), n)
+    sums = [F.lit(round(float((values**p).sum()), 5) + 0.0).alias(name) for p, name in ((1, "first"), (2, "second"), (3, "third"))]
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), *sums)
+
+
+@query(f"""with {TRADE}, two as (select a.src as i, b.dst as j, sum(a.w * b.w) as v from trade a join trade b on a.dst = b.src group by all), g as (select a.i, b.i as j, sum(a.v * b.v) as v from two a join two b on a.j = b.j group by all)
+    select round(ln((select sum(v) from g where i = j)), 6) + 0.0 as second, round(ln((select sum(v * v) from g)), 6) + 0.0 as fourth""")
+def hope_singular_values(spark, folder):
+    """All singular values of the two-step matrix, by the logarithms of the sums of their second and fourth powers."""
+    a = matrix.matrix(trade(spark, folder))
+    two = matrix.product(a, a)
+    _, values, _ = embed.top_svd(two, two.select(F.explode(F.array("i", "j"))).distinct().count())
+    return spark.range(1).select(*[F.lit(round(math.log((values**p).sum()), 6) + 0.0).alias(name) for p, name in ((2, "second"), (4, "fourth"))])
+
+
+@query(f"""with {NEAR}, book as (select id, row_number() over (order by id) - 1 as x from nodes), n as (select count(*) as n, count(*) * (count(*) - 1) // 2 as every from nodes),
+    known as (select distinct b.x * (b.x - 1) // 2 + a.x as pair from near join book a on a.id = src join book b on b.id = dst where src < dst),
+    tried as (select distinct {_draw('t', '7', "'pair'")} % every as pair from n, (select unnest(range(64 + 2 * 1000)) as t)),
+    chosen as (select pair from tried where pair not in (select pair from known) order by {_draw('pair', '7')}, pair limit 1000)
+    select u.id as u, v.id as v from chosen join book v on v.x * (v.x - 1) // 2 <= pair and pair < v.x * (v.x + 1) // 2 join book u on u.x = pair - v.x * (v.x - 1) // 2""")
+def negative_edges(spark, folder):
+    edges = near(spark, folder).where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return structure.non_edges(edges, 1000, 7)
+
+
 @query()
 def hope_embedding(spark, folder):
     return embed.hope(PropertyGraph.from_edges(near(spark, folder)), 8)
@@ -658,12 +727,12 @@ def lle_embedding(spark, folder):
 
 @query()
 def gcn_train(spark, folder):
-    return networks.gcn(near(spark, folder), _features(spark, folder), _marks(spark, folder), 10, epochs=2)[0]
+    return networks.gcn(near(spark, folder), _features(spark, folder), _marks(spark, folder), 10)[0]
 
 
 @query()
 def gcn_chebyshev_train(spark, folder):
-    return networks.gcn_chebyshev(near(spark, folder), _features(spark, folder), _marks(spark, folder), 10, order=2, epochs=1)[0]
+    return networks.gcn_chebyshev(near(spark, folder), _features(spark, folder), _marks(spark, folder), 10)[0]
 
 
 @query()

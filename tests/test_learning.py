@@ -95,6 +95,15 @@ def test_convolution_propagates_like_matrices(groups, features, spark):
     assert np.allclose([r["z"] for r in back], hat.T @ x)
 
 
+def test_convolutions_in_one_process_equal_those_over_partitions(groups, features, marks, monkeypatch):
+    terms = [matrix.renormalised(matrix.matrix(groups.edges), features.select("id")), matrix.identity(features.select("id"))]
+    run = lambda: networks.train_convolution(features, networks.supports(*terms), marks, GROUPS, hidden=5, epochs=3, dropout=0.4)
+    (one, first), (two, second) = run(), (monkeypatch.setattr(networks, "LOCAL_BYTES", 0), run())[1]
+    assert all(a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a]) for a, b in zip(first, second)) and len(first) == len(second) == 3
+    for a, b in zip(sorted(one.collect()), sorted(two.collect())):
+        assert a.id == b.id and np.allclose(a.hidden, b.hidden) and np.allclose(a.probs, b.probs)
+
+
 @pytest.mark.parametrize("kind", ["gcn", "cheby"])
 def test_graph_convolutions_learn_groups(groups, features, marks, kind):
     more = dict(epochs=6, rate=0.2, dropout=0.0, decay=0.0, patience=0)
