@@ -17,6 +17,7 @@ are ranges of doc_id, so the order of names is the order of documents.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -145,7 +146,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, level: i
 
     Manifest: part, file, documents, ids, bytes, first_id (ids in all files before).  A task writes
     under a name of its own and renames when it is done, so a repeated or lost task leaves no
-    half file; the manifest names the finished ones.  A null text is just ``end_id``.  Null ids
+    half file; the manifest names the finished ones.  ``path`` is opened by pyarrow, which must know
+    its scheme (file, hdfs, viewfs, s3, gs).  A null text is just ``end_id``.  Null ids
     come first; repeated rows are all written; other columns are ignored; an empty table gives no file.
     """
     spark = docs.sparkSession
@@ -173,7 +175,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, level: i
         row = [[task.partitionId()], [name], [len(writer.sizes)], [sum(writer.sizes)], [writer.at]]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "file", "documents", "ids", "bytes"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # a draw beside the id, so that many rows of one id, or of null, can be cut into several files
+    drawn = docs.select("doc_id", "text", F.rand(7).alias("_r"))
+    ordered = drawn.repartitionByRange(files, "doc_id", "_r").sortWithinPartitions("doc_id", "_r").drop("_r")
     manifest = workspace.keep(ordered.mapInArrow(run, "part int, file string, documents long, ids long, bytes long"), "planes-manifest")
     # One row for each file: small enough to be summed in one place.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,8 +194,9 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for file, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_file(f"{root}/{file}") as opened:
-                    rows = [(d, first + s, n, crc) for d, s, n, crc in Reader(opened).documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    found = Reader(opened).documents()
+                    while rows := [(d, first + s, n, crc) for d, s, n, crc in itertools.islice(found, 8192)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     spread = manifest.select("file", "first_id").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

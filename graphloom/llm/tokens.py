@@ -10,6 +10,7 @@ Python but not the tokenizer takes for white space, go to ``Tokenizer.encode`` a
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -92,11 +93,45 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def encoder(path: str) -> Words:
-    """The memo of this Python worker; later tasks of the worker find it filled."""
+class Library:
+    """The same for any other vocabulary: every text goes to the library whole."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, text: str | None) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], "<u4").tobytes()
+
+
+# The normaliser and splitter that ``Words`` is written for.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def drops_spaces(path: str) -> bool:
+    """Whether a vocabulary file normalises and splits as ``Words`` takes for granted."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    special = all(t.get("special") and not any(c.isspace() for c in t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in found.get("added_tokens") or [])
+    return found.get("normalizer") == NORMALISER and found.get("pre_tokenizer") == SPLITTER and special and not found.get("truncation")
+
+
+def encoder(path: str) -> Words | Library:
+    """The memo of this Python worker, or the plain library for other vocabularies; later tasks of the worker find it filled."""
     held = sys.modules.setdefault("_graphloom_tokens", types.ModuleType("_graphloom_tokens"))
     if path not in held.__dict__:
-        held.__dict__[path] = Words(path)
+        held.__dict__[path] = Words(path) if drops_spaces(path) else Library(path)
     return held.__dict__[path]
 
 

@@ -75,6 +75,26 @@ def test_word_memo_equals_the_library(tokenizer, text):
     assert np.frombuffer(found, "<u4").tolist() == ids_of(tokenizer, text)
 
 
+def test_other_vocabularies_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    other = tokens.default_vocabulary().replace("word_bpe_49k", "byte_bpe_50k")
+    text = "  Two  blanks,\n\ttabs and Größe 12 don't <|endoftext|> "
+    assert isinstance(tokens.encoder(tokens.default_vocabulary()), tokens.Words) and isinstance(tokens.encoder(other), tokens.Library)
+    assert np.frombuffer(tokens.encoder(other).encode(text), "<u4").tolist() == ids_of(Tokenizer.from_file(other), text)
+    assert tokens.encoder(other).encode(None) == b""
+
+
+def test_planes_of_rows_of_one_id(spark, tokenizer):
+    rows = [(7 if k % 3 else None, f"text {k}") for k in range(600)]
+    path = workspace.folder(spark, "test-planes")
+    manifest = planes.write(spark.createDataFrame(rows, "doc_id long, text string"), path, tokens.default_vocabulary(), files=6)
+    found = sorted(planes.read(manifest, path).collect(), key=lambda r: r["start"])
+    assert manifest.count() > 2 and collections.Counter(r["doc_id"] for r in found) == {None: 200, 7: 400}
+    assert [r["doc_id"] for r in found] == [None] * 200 + [7] * 400 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))
+    assert collections.Counter(r["ids_crc32"] for r in found) == collections.Counter(crc(ids_of(tokenizer, t) + [2]) for _, t in rows)
+
+
 def test_word_hashes_of_long_and_odd_texts():
     import pyarrow as pa
 
