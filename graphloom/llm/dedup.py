@@ -17,8 +17,8 @@ from graphloom.llm import workspace
 
 SPACE = r"[\x20\x09-\x0D]+"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Files of digests in one micro-batch.
-FILES_A_BATCH = 1000
+#: Files of digests in one micro-batch; documents for each store of a state that isn't kept.
+FILES_A_BATCH, ROWS_A_STORE = 1000, 25_000
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -44,11 +44,12 @@ def update_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
 
 
-def _through_state(spark: SparkSession, schema: T.StructType, place: str, files: int) -> DataFrame:
-    """Send what is new below ``place``/digests through the state kept there, ``files`` files a batch; the state after the last."""
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+def _through_state(spark: SparkSession, schema: T.StructType, place: str, files: int, parts: int) -> DataFrame:
+    """Send what is new below ``place``/digests through the state kept there, in ``parts`` stores, ``files`` files a batch; the state after the last."""
+    settings = _SETTINGS | {"spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in _SETTINGS.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         state = update_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{place}/digests/*"))
 
@@ -109,6 +110,7 @@ def _decided(docs: DataFrame, place: str | None = None, files: int = FILES_A_BAT
     """``dedup`` of a table that has its ``locator``."""
     spark = docs.sparkSession
     text = normal(F.col("text"))
+    parts, once = int(spark.conf.get("spark.sql.shuffle.partitions")), not place
     place = place or workspace.folder(spark, "dedup")
     base = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/digests")
     disk = base.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -117,7 +119,9 @@ def _decided(docs: DataFrame, place: str | None = None, files: int = FILES_A_BAT
     mine = docs.select("doc_id", sha.alias("sha"), F.substring(sha, 1, hex_digits).alias("digest"), F.lit(run).alias("run"), "locator")
     mine.write.parquet(f"{place}/digests/run={run:06d}-")
     digests = spark.read.schema(mine.schema).parquet(f"{place}/digests/run={run:06d}-")
-    whole = workspace.keep(_through_state(spark, mine.schema, place, files), "dedup-state")
+    if once:  # every store takes memory; a state that is kept must be ready for larger tables
+        parts = min(parts, max(8, digests.count() // ROWS_A_STORE))
+    whole = workspace.keep(_through_state(spark, mine.schema, place, files, parts), "dedup-state")
     hits = whole.where("copies > 1")
 
     # Full bytes on hits: the hit rows' texts by digest and text.  The aggregate keeps one row for each
