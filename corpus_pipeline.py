@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members = workspace.keep(found.select(F.col("doc_id").alias("_row"), "class_id").join(numbered.select("_row", "doc_id"), "_row"), "pipeline-near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row"))
     classes = workspace.keep(members.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "pipeline-classes")
-    gone = workspace.keep(join_totals(members, classes, ["class_id"], "n", members.count()).where("_row <> first._row").select("_row"), "pipeline-gone")
+    gone = join_totals(members, classes, ["class_id"], "n", members.count()).where("_row <> first._row")
     return workspace.without(numbered, gone, "_row").select(*COLUMNS)
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +14,11 @@ from graphloom.plans.storage import stored
 
 #: A key is hot from this part of all rows on.
 HOT_SHARE = 256
-#: Tables of at most this many bytes, as counted by ``_size``, are broadcast whole.
+#: Tables of at most this many bytes, as counted by ``size``, are broadcast whole.
 BROADCAST_BYTES = 4 << 20
 
 
-def _size(table: DataFrame) -> int:
+def size(table: DataFrame) -> int:
     """16 bytes for each value, those of strings, and 48 for each element of an array."""
     kinds = {f.name: f.dataType.typeName() for f in table.schema.fields}
     texts = [F.octet_length(name) for name, kind in kinds.items() if kind == "string"]
@@ -31,7 +36,7 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], count: str,
     whatever the data, so their totals are broadcast.  Null keys go.  Give ``totals`` as a stored
     table of numbers and strings, for it is read several times.
     """
-    if _size(totals) <= BROADCAST_BYTES:
+    if size(totals) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(totals), keys)
     bar = total // HOT_SHARE
     marked = rows.join(F.broadcast(totals.where(F.col(count) > bar)), keys, "left")
@@ -44,15 +49,40 @@ def _stats(edges: DataFrame) -> tuple[int, object]:
     return row["n"], row["h"]
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of the task, by union and find."""
+    parent: dict = {}
+
+    def find(x):
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[above]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "root"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the least node of its component.
 
     Nulls and loops are dropped.  Alternates large and small stars (Kiveris et al. 2014), so rounds
     grow with the logarithm of the graph.  Each step aggregates, writes the least neighbour and the
     degree of each node, and joins them to the edges; edges of the nodes of highest degree stay in their tasks.
+    Edges that measure no more than a table to be broadcast are joined in one task instead.
     """
     ordered = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     state, mark = stored(ordered.distinct(), name), None
+    if size(state) <= BROADCAST_BYTES:
+        kind = state.schema["u"].dataType.simpleString()
+        return stored(state.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"), name)
     while (now := _stats(state)) != mark and now[0]:
         mark, total = now, now[0]
         # the larger neighbours of each node move to the least node near it
@@ -67,3 +97,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     # a star forest: one edge for each node that is not a root
     pairs = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -159,7 +159,9 @@ def test_shared_orders_take_every_line(spark):
     assert len(sample) == len(set(sample)) == min(500, len(want)) and all(want[r.u, r.v] == r.weight for r in sample)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("most", [4 << 20, 0])
+def test_components_of_a_long_path(spark, most, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", most)
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, None)], "u long, v long")
     assert {(r["node"], r["root"]) for r in skew.components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
 
