@@ -298,7 +298,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     place = F.pmod(F.xxhash64("s.spot", "s.band") + turn, F.lit(parts)).cast("int")
     spread = spread.select("s.spot", "s.band", "p.i", "p.j", "p.side", "node", "rep", "copies", "whole", "set", "met", place.alias("place"))
     dealt = spread.repartitionById(parts, "place").drop("place").sortWithinPartitions("spot", "band", "i", "j", "side", "node")
-    verified = workspace.keep(_verify(dealt, threshold), "neardup-links")
+    verified = workspace.keep(_verify(dealt, threshold).repartition("node"), "neardup-links")  # few rows of many tasks: few files
 
     linked = verified.where("class_id is not null").select("node", "class_id", "links")
     open_ = verified.where("class_id is null")

@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import BROADCAST_BYTES, size
 from graphloom.plans.storage import cleanup, folder, issued, latest, stored
 
 __all__ = ["cleanup", "folder", "issued", "keep", "latest", "prefilter", "ship", "slot", "without"]
@@ -58,14 +59,18 @@ def prefilter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def without(rows: DataFrame, gone: DataFrame, key: str, *also: str) -> DataFrame:
     """Rows not in ``gone``, compared by ``key`` and the columns ``also``, nulls being equal there.
 
-    Rows whose slot no key of ``gone`` has stay in their tasks; only the others, about as many as
-    ``gone`` has, are shuffled for the exact comparison.  Rows of null ``key`` stay.
+    ``gone`` is measured, and broadcast where it is small.  Else rows whose slot no key of ``gone`` has
+    stay in their tasks; only the others, about as many as ``gone`` has, are shuffled for the exact
+    comparison.  Rows of null ``key`` stay.
     """
-    slots = F.broadcast(gone.where(F.col(key).isNotNull()).select(slot(F.col(key)).alias("_slot")).distinct())
-    marked = rows.withColumn("_slot", F.when(F.col(key).isNotNull(), slot(F.col(key))))
-    safe = marked.join(slots, "_slot", "left_anti").drop("_slot")
-    doubtful = marked.join(slots, "_slot", "left_semi").drop("_slot").alias("r")
+    gone = keep(gone.where(F.col(key).isNotNull()).select(key, *also), "gone")
     same = F.col(f"r.{key}") == F.col(f"g.{key}")
     for name in also:
         same = same & F.col(f"r.{name}").eqNullSafe(F.col(f"g.{name}"))
-    return safe.unionByName(doubtful.join(gone.select(key, *also).alias("g"), same, "left_anti"))
+    if size(gone.select(key)) * (1 + 4 * len(also)) <= BROADCAST_BYTES:
+        return rows.alias("r").join(F.broadcast(gone.alias("g")), same, "left_anti")
+    slots = F.broadcast(gone.select(slot(F.col(key)).alias("_slot")).distinct())
+    marked = rows.withColumn("_slot", F.when(F.col(key).isNotNull(), slot(F.col(key))))
+    safe = marked.join(slots, "_slot", "left_anti").drop("_slot")
+    doubtful = marked.join(slots, "_slot", "left_semi").drop("_slot").alias("r")
+    return safe.unionByName(doubtful.join(gone.alias("g"), same, "left_anti"))

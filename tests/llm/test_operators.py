@@ -392,6 +392,15 @@ def test_dedup_over_one_state(spark, hex_digits):
         assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found} == expected
 
 
+@pytest.mark.parametrize("most", [4 << 20, 0])
+def test_rows_without_others(spark, most, monkeypatch):
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", most)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (None, "a"), (3, "c"), (3, "c")], "k long, s string")
+    gone = spark.createDataFrame([(1, "b"), (2, None), (None, "a"), (4, "z")], "k long, s string")
+    both = {(r["k"], r["s"]) for r in workspace.without(rows, gone, "k", "s").collect()}
+    assert both == {(1, "a"), (None, "a"), (3, "c")} and workspace.without(rows, gone, "k").count() == 3
+
+
 def test_dedup_of_nothing(none):
     assert dedup.dedup(none).count() == 0 and dedup.deduplicated(none).count() == 0
 
