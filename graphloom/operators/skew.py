@@ -19,9 +19,10 @@ BROADCAST_BYTES = 4 << 20
 
 
 def size(table: DataFrame) -> int:
-    """16 bytes for each value, those of strings, and 48 for each element of an array."""
+    """16 bytes for each value, those of strings and of structs as text, and 48 for each element of an array."""
     kinds = {f.name: f.dataType.typeName() for f in table.schema.fields}
     texts = [F.octet_length(name) for name, kind in kinds.items() if kind == "string"]
+    texts += [F.octet_length(F.col(name).cast("string")) for name, kind in kinds.items() if kind == "struct"]
     texts += [48 * F.greatest(F.size(name), F.lit(0)) for name, kind in kinds.items() if kind == "array"]
     long = sum((F.coalesce(F.sum(t), F.lit(0)) for t in texts), F.lit(0)).alias("b")
     row = table.agg(F.count(F.lit(1)).alias("n"), long).first()
