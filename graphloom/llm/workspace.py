@@ -67,7 +67,7 @@ def without(rows: DataFrame, gone: DataFrame, key: str, *also: str) -> DataFrame
     same = F.col(f"r.{key}") == F.col(f"g.{key}")
     for name in also:
         same = same & F.col(f"r.{name}").eqNullSafe(F.col(f"g.{name}"))
-    if size(gone.select(key)) * (1 + 4 * len(also)) <= BROADCAST_BYTES:
+    if size(gone) <= BROADCAST_BYTES:
         return rows.alias("r").join(F.broadcast(gone.alias("g")), same, "left_anti")
     slots = F.broadcast(gone.select(slot(F.col(key)).alias("_slot")).distinct())
     marked = rows.withColumn("_slot", F.when(F.col(key).isNotNull(), slot(F.col(key))))
