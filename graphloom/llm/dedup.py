@@ -24,6 +24,8 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    # else every store of an executor stays open, with memory of its own beside the heap, until long after the query
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # else each of many small stores reserves megabytes of disk for its logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "k1", "k2", "grams", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, grams long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: words.lean(run(batches)), "doc_id long, k1 long, k2 long, grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 _keys(grams, starts, keys[first : first + docs_])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(k.view(np.int64)) for k in keys.T.copy()), pa.array(blobs, pa.binary())], ["rep", "k1", "k2", "set"])
 
-    return docs.select("rep", "text").mapInArrow(run, "rep long, k1 long, k2 long, set binary")
+    return docs.select("rep", "text").mapInArrow(lambda batches: words.lean(run(batches)), "rep long, k1 long, k2 long, set binary")
 
 
 def links_of(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -224,7 +224,7 @@ def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
                 columns = [nodes, [parents[x] for x in nodes], [count[x] for x in nodes], [least.get(parents[x]) for x in nodes]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "parent", "links", "class_id"])
 
-    return tiles.mapInArrow(run, "node long, parent long, links long, class_id long")
+    return tiles.mapInArrow(lambda batches: words.lean(run(batches)), "node long, parent long, links long, class_id long")
 
 
 def _pieces(members: str, grams: str) -> Column:

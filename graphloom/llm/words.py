@@ -6,6 +6,7 @@ on the bytes of many documents at once; no Python object is made for each word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,15 @@ class WordHasher:
         return hashes, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker, which waits for other tasks, gives the memory it has freed back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; a null counts as empty."""
     texts = texts.cast(pa.large_string())

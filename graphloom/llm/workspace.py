@@ -16,8 +16,8 @@ __all__ = ["cleanup", "folder", "issued", "keep", "latest", "prefilter", "ship",
 #: Keys of ``prefilter`` fall into this many slots, so what it broadcasts is at most
 #: this many integers (8 MB), whatever the size of the data.
 PREFILTER_SLOTS = 1 << 20
-#: Rows of an Arrow batch: whole texts go through Python workers, several of them beside each executor's heap.
-BATCH_ROWS = 2048
+#: Rows and bytes of an Arrow batch: whole texts go through Python workers, several of them beside each executor's heap.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def ship(*modules: str) -> None:
@@ -27,14 +27,16 @@ def ship(*modules: str) -> None:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """``stored``, with Arrow batches of at most ``BATCH_ROWS`` rows while it is written."""
-    conf, option = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(option)
+    """``stored``, with Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes while it is written."""
+    conf, option, bytes_ = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, bytes_before = conf.get(option), conf.get(bytes_)
     conf.set(option, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    conf.set(bytes_, str(BATCH_BYTES))
     try:
         return stored(df, name)
     finally:
         conf.set(option, before)
+        conf.set(bytes_, bytes_before)
 
 
 def slot(key: Column) -> Column:

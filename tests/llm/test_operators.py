@@ -14,6 +14,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -847,3 +848,13 @@ def test_pipeline_against_brute_force(spark, tokenizer):
             pieces.sort()
             assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:j]) for j in range(len(pieces))] and sum(n for _, n in pieces) <= 4096
         assert len(ends) <= -(-sum(n for p in ends.values() for _, n in p) // 4096) + 2
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 2000, 1, 1).select(F.lpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
+    found = [r["n"] for r in workspace.keep(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(found) >= 20_000_000 and max(found) <= 2 * workspace.BATCH_BYTES
