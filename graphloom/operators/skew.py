@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -71,6 +72,39 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "root"])
 
 
+def forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minimum spanning forest of the edges (u, v, weight) of the task, ties broken by (u, v), by Boruvka's rounds on arrays."""
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    table = table.append_column("_known", table["weight"].is_valid())  # null weights come first, as in Spark
+    table = table.sort_by([(c, "ascending") for c in ("_known", "weight", "u", "v")]).drop_columns(["_known"])
+    m = table.num_rows
+    code = pa.chunked_array(table["u"].chunks + table["v"].chunks).combine_chunks().dictionary_encode().indices.to_numpy()
+    a, b = code[:m].astype(np.int64), code[m:].astype(np.int64)
+    n, place, chosen = int(code.max(initial=-1)) + 1, np.arange(m), []
+    while True:
+        cross = a != b
+        a, b, place = a[cross], b[cross], place[cross]
+        if not len(a):
+            break
+        least = np.full(n, len(a))
+        np.minimum.at(least, np.concatenate([a, b]), np.tile(np.arange(len(a)), 2))
+        mine = np.flatnonzero(least < len(a))
+        best = least[mine]
+        chosen.append(place[np.unique(best)])
+        root = np.arange(n)
+        root[mine] = a[best] + b[best] - mine  # the other end
+        both = root[root] == np.arange(n)  # two that chose the same edge: the smaller one stays
+        root[both] = np.minimum(root, np.arange(n))[both]
+        while ((above := root[root]) != root).any():
+            root = above
+        a, b = root[a], root[b]
+    keep = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+    yield from table.take(keep).combine_chunks().to_batches()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the least node of its component.
 

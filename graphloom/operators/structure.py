@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.numeric import draw
+from graphloom.functions.numeric import BITS, draw
 from graphloom.operators import skew
 from graphloom.operators.graph import canonical, numbered
 from graphloom.plans.storage import stored
 
+#: Edges of a task that finds a forest of its own.
+FOREST_EDGES = 250_000
+#: More rows than ``FEW`` are chosen by counts of this many ranges of their draws, not sorted by one task.
+FEW, RANGES_BITS = 10_000, 12
+
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component) for every node of the edges and of ``nodes``; component is its least node."""
@@ -28,8 +33,22 @@ def largest_component(edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """(u, v, weight): the minimum spanning forest by Boruvka's rounds, ties broken by (u, v), which makes it unique."""
-    pool = stored(canonical(edges), "pool")
+    """(u, v, weight): the minimum spanning forest by Boruvka's rounds, ties broken by (u, v), which makes it unique.
+
+    An edge that is in no forest of some part of the edges isn't in that of all.  So tasks first drop such
+    edges of their own parts, again and again while that halves them; what one task can hold ends there.
+    """
+    pool = stored(canonical(edges).where("u is not null and v is not null"), "pool")
+    count = pool.count()
+    while True:
+        tasks = max(1, -(-count // FOREST_EDGES))
+        parts = pool.coalesce(1) if tasks == 1 else pool.repartition(tasks)
+        pool = stored(parts.mapInArrow(skew.forest_of, pool.schema), "thinned")
+        if tasks == 1:
+            return pool
+        before, count = count, pool.count()
+        if 2 * count > before:
+            break
     chosen: DataFrame | None = None
     label = stored(pool.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("c")), "labels")
     while True:
@@ -113,9 +132,24 @@ def without_edges(edges: DataFrame, others: DataFrame) -> DataFrame:
     return edges.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")}).join(flat, ["u", "v"], "left_anti")
 
 
+def least_drawn(rows: DataFrame, order: Column, ties: list[str], k: int) -> DataFrame:
+    """The k rows of least (order, ties), where ``order`` is a draw: at most ``FEW`` by a sort, more by the range of draws that holds the last of them."""
+    if k <= FEW:
+        return rows.orderBy(order, *ties).limit(k)
+    held = stored(rows.withColumn("_draw", order), "drawn")
+    span = F.shiftright("_draw", BITS - RANGES_BITS)
+    before = 0
+    for row in held.groupBy(span.alias("r")).count().orderBy("r").collect():
+        if before + row["count"] >= k:
+            last = held.where(span == row["r"]).orderBy("_draw", *ties).limit(k - before)
+            return held.where(span < row["r"]).unionByName(last).drop("_draw")
+        before += row["count"]
+    return held.drop("_draw")
+
+
 def sampled(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k edges, uniform by a hash of their ends, which may be of any type."""
-    return edges.orderBy(draw(F.col("u"), F.col("v"), seed), "u", "v").limit(k)
+    return least_drawn(edges, draw(F.col("u"), F.col("v"), seed), ["u", "v"], k)
 
 
 def non_edges(edges: DataFrame, count: int, seed: int = 42) -> DataFrame:
@@ -145,7 +179,7 @@ def non_edges(edges: DataFrame, count: int, seed: int = 42) -> DataFrame:
             if found.count() >= want:
                 break
             tries *= 2
-    chosen = stored(found.orderBy(order, "pair").limit(want), "non-edges")
+    chosen = stored(least_drawn(found, order, ["pair"], want), "non-edges")
     b = F.floor((F.sqrt(8.0 * F.col("pair") + 1) + 1) / 2).cast("long")
     fits = lambda x: (x * (x - 1) / 2).cast("long")
     b = F.when(fits(b) > F.col("pair"), b - 1).when(fits(b + 1) <= F.col("pair"), b + 1).otherwise(b)  # the root is rounded
@@ -169,6 +203,6 @@ def train_test(edges: DataFrame, train_ratio: float = 0.8, negatives: int = 5, s
     none = stored(non_edges(base, negatives * total, seed), "negatives")
     trained = total - max(0, rest.count() - more)
     share = round(none.count() * trained / total) if total else 0
-    first = stored(none.orderBy(draw(F.col("u"), F.col("v"), seed, "part"), "u", "v").limit(share), "negatives-train")
+    first = stored(least_drawn(none, draw(F.col("u"), F.col("v"), seed, "part"), ["u", "v"], share), "negatives-train")
     marked = first.withColumn("part", F.lit("train")).unionByName(none.join(first, ["u", "v"], "left_anti").withColumn("part", F.lit("test")))
     return positive.select("u", "v", F.lit(1).alias("label"), "part").unionByName(marked.select("u", "v", F.lit(0).alias("label"), "part"))

@@ -7,9 +7,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import numeric as N
 from graphloom.operators import embed, evaluate, graph, matrix, sampling, skew, structure
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans import graph_queries
+from graphloom.plans.storage import stored
 from graphloom.sources import graph_files
 from tests.conftest import DATA
 
@@ -286,3 +288,28 @@ def test_louvain_ends_where_no_move_gains(spark):
         own = part[f"v{v}"]
         stay = near[v][own] - d * (total[own] - d) / m2
         assert all(n - d * total[p] / m2 <= stay + 1e-9 for p, n in near[v].items() if p != own)
+
+
+@pytest.mark.parametrize("most", [250_000, 40])
+def test_forest_of_parts_against_kruskal(spark, most, monkeypatch):
+    monkeypatch.setattr(structure, "FOREST_EDGES", most)
+    tables = []
+    monkeypatch.setattr(structure, "stored", lambda df, name="": tables.append(name) or stored(df, name))
+    pairs = [(f"n{a}", f"n{b}", float((a * 7 + b * 13) % 5)) for a in range(30) for b in range(a) if (a + b) % 4]
+    found = {(r.u, r.v) for r in structure.spanning_forest(spark.createDataFrame(pairs, "src string, dst string, weight double")).collect()}
+    root, want = {}, set()
+    top = lambda x: x if root.get(x, x) == x else top(root[x])
+    for _, u, v in sorted((w, *sorted((a, b))) for a, b, w in pairs):
+        if top(u) != top(v):
+            root[top(u)] = top(v)
+            want.add((u, v))
+    assert found == want and (most == 40 or tables == ["pool", "thinned"])
+
+
+def test_many_drawn_rows_are_not_sorted_in_one_task(spark, monkeypatch):
+    edges = spark.range(3000).select((F.col("id") % 60).alias("u"), (F.col("id") + 100).alias("v"))
+    want = rows(edges.orderBy(N.draw(F.col("u"), F.col("v"), 3), "u", "v").limit(1234))
+    monkeypatch.setattr(structure, "FEW", 10)
+    found = structure.sampled(edges, 1234, 3)
+    assert rows(found) == want and "TakeOrderedAndProject(limit=1234" not in found._jdf.queryExecution().toString()
+    assert structure.sampled(edges, 5000, 3).count() == 3000
