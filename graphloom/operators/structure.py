@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from graphloom.operators import skew
 from graphloom.operators.graph import canonical, numbered
 from graphloom.plans.storage import stored
 
+#: Communities of graphs of at most this many bytes, as counted by ``skew.size``, are found in one process.
+LOCAL_BYTES = 64 << 20
 #: Edges of a task that finds a forest of its own.
 FOREST_EDGES = 250_000
 #: More rows than ``FEW`` are chosen by counts of this many ranges of their draws, not sorted by one task.
@@ -83,8 +88,12 @@ def louvain(edges: DataFrame, seed: int = 23, patience: int = 4) -> DataFrame:
     two nodes never swap places; only moves of positive gain are made.  A level ends when no node has
     such a move, whatever the halves, or when moves made at once have cancelled each other for
     ``patience`` rounds, with the best partition seen; the search ends with a level that merges nothing.
+    A graph of at most ``LOCAL_BYTES`` takes the same steps with the same draws in one process.
     """
     graph = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain")
+    kinds = {graph.schema[c].dataType.typeName() for c in ("src", "dst")}
+    if len(kinds) == 1 and kinds <= {"string", "long", "integer"} and graph.where("src is null or dst is null or weight is null").isEmpty() and skew.size(graph) <= LOCAL_BYTES:
+        return _louvain_local(graph, seed, patience)
     m2 = graph.agg(F.sum("weight")).first()[0] or 1.0
     whole = stored(graph.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("part")), "parts")
     turn = 0
@@ -126,6 +135,73 @@ def louvain(edges: DataFrame, seed: int = 23, patience: int = 4) -> DataFrame:
         graph = stored(graph.join(a, "src").join(b, "dst").groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
 
 
+def _odd(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Whether Spark's xxhash64 of a value and an int is odd, from the hashes of the values alone."""
+    big = np.uint64
+    p1, p2, p3, p5 = map(big, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (hashes.view(np.uint64) + p5 + big(4)) ^ (np.full(1, number, np.uint64) * p1)
+    h = ((h << big(23)) | (h >> big(41))) * p2 + p3
+    h = (h ^ (h >> big(33))) * p2
+    h = (h ^ (h >> big(29))) * p3
+    return ((h ^ (h >> big(32))) & big(1)).astype(bool)
+
+
+def _sums(keys: list[np.ndarray], *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct (a, b) of two arrays of keys, sorted, and the sums of each of ``values``."""
+    if not len(keys[0]):
+        return [*keys, *values]
+    order = np.lexsort(keys[::-1])
+    a, b = (k[order] for k in keys)
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return [a[first], b[first], *[np.add.reduceat(v[order], first) for v in values]]
+
+
+def _louvain_local(graph: DataFrame, seed: int, patience: int) -> DataFrame:
+    """``louvain`` of summed arcs without nulls; places in the sorted ids stand for nodes and communities."""
+    spark = graph.sparkSession
+    nodes = graph.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h")).toArrow().sort_by("id")
+    ids, hashes = nodes["id"].combine_chunks(), nodes["h"].to_numpy().astype(np.int64)
+    arcs, n = graph.toArrow(), len(nodes)
+    src, dst = (pc.index_in(arcs[c], value_set=ids).to_numpy().astype(np.int64) for c in ("src", "dst"))
+    weight = arcs["weight"].cast(pa.float64()).to_numpy()
+    m2, whole, turn = weight.sum() or 1.0, np.arange(n), 0
+    while True:
+        here = np.zeros(n, bool)
+        here[src] = True  # nodes without arcs of their own take no part
+        k = np.bincount(src, weight, n)
+        parts = best = np.where(here, np.arange(n), -1)
+        inside = here[dst]
+        a, b, w, plain = src[inside], dst[inside], weight[inside], np.where(src == dst, 0.0, weight)[inside]
+        top, since, moved = None, 0, False
+        while True:
+            turn += 1
+            sizes = np.bincount(parts[here], k[here], n)
+            id_, to, near, all_ = _sums([a, parts[b]], plain, w)
+            own = to == parts[id_]
+            gain = near - k[id_] * (sizes[to] - np.where(own, k[id_], 0.0)) / m2
+            alone = -k * (sizes[parts] - k) / m2
+            alone[id_[own]] = gain[own]
+            gains = ~own & (gain > alone[id_] + 1e-12)
+            quality = all_[own].sum() / m2 - (sizes * sizes).sum() / (m2 * m2)
+            if top is None or quality > top + 1e-10:
+                top, best, since = quality, parts, 0
+            else:
+                since += 1
+            if since >= patience or not gains.any():
+                break
+            odd = _odd(hashes, seed + turn)
+            may = gains & ~odd[to] & odd[parts[id_]]
+            order = np.lexsort((to[may], gain[may], id_[may]))
+            parts = parts.copy()
+            parts[id_[may][order]] = to[may][order]  # of one node the last holds, its greatest gain
+            moved = True
+        there = here[whole]
+        whole = np.where(there, best[whole], whole)
+        if not moved or (best[here] == np.flatnonzero(here)).all():
+            return spark.createDataFrame(pa.table({"id": ids, "part": ids.take(pa.array(whole))}))
+        src, dst, weight = _sums([best[a], best[b]], w)
+
+
 def without_edges(edges: DataFrame, others: DataFrame) -> DataFrame:
     """Undirected edges (u, v) that are not in ``others``; orientation doesn't matter."""
     flat = others.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))

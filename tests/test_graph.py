@@ -313,3 +313,14 @@ def test_many_drawn_rows_are_not_sorted_in_one_task(spark, monkeypatch):
     found = structure.sampled(edges, 1234, 3)
     assert rows(found) == want and "TakeOrderedAndProject(limit=1234" not in found._jdf.queryExecution().toString()
     assert structure.sampled(edges, 5000, 3).count() == 3000
+
+
+def test_louvain_in_one_process_equals_that_over_tables(spark, monkeypatch):
+    links = [(6 * c + a, 6 * c + b) for c in range(4) for a in range(6) for b in range(a)] + [(6 * c, 6 * ((c + 1) % 4) + 1) for c in range(4)]
+    edges = graph.symmetrized(spark.createDataFrame([(f"v{a}", f"v{b}", 1.0) for a, b in links], "src string, dst string, weight double"))
+    tables = []
+    monkeypatch.setattr(structure, "stored", lambda df, name="": tables.append(name) or stored(df, name))
+    one = rows(structure.louvain(edges))
+    assert tables == ["louvain"]
+    monkeypatch.setattr(structure, "LOCAL_BYTES", 0)
+    assert rows(structure.louvain(edges)) == one and len(tables) > 10
