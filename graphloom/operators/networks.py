@@ -6,6 +6,10 @@ weight matrices, whose size doesn't depend on the graph, are on the driver.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +23,8 @@ from graphloom.plans.storage import stored
 
 #: Graphs of at most this many bytes are trained in one process.
 LOCAL_BYTES = 128 << 20
+#: Arcs of a block of a product in one process: its rows stay in the cache.
+BLOCK = 1 << 14
 
 
 def supports(*matrices: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def split_nodes(labels: DataFrame, ratio: float, validation: int = 100, seed: in
 
 def train_convolution(
     features: DataFrame, held: DataFrame, marks: DataFrame, classes: int, hidden: int = 16, epochs: int = 200, rate: float = 0.01,
-    decay: float = 5e-4, dropout: float = 0.5, patience: int = 10, seed: int = 123,
+    decay: float = 5e-4, dropout: float = 0.5, patience: int = 10, seed: int = 123, terms: tuple[DataFrame, int] | None = None,
 ) -> tuple[DataFrame, list[dict]]:
     """Two graph convolutions, relu between them; returns (id, hidden, probs) and the history.
 
@@ -67,10 +73,17 @@ def train_convolution(
     features must be equally long; ids must not repeat.
 
     A graph whose features, supports and marks take at most ``LOCAL_BYTES`` is trained in one process,
-    by the same steps with the same draws; a larger one by joins and sums over partitions.
+    by the same steps with the same draws; a larger one by joins and sums over partitions.  ``terms``:
+    a matrix and the order to which ``held`` has its Chebyshev terms.  One process then needs the
+    matrix alone, for it gets a term's product from those of the two terms before.
     """
-    features, held, marks = stored(features.select("id", "features"), "features"), stored(held, "supports"), stored(marks.select("id", "y", "part"), "marks")
+    features, marks = stored(features.select("id", "features"), "features"), stored(marks.select("id", "y", "part"), "marks")
     width = features.agg(F.max(F.size("features"))).first()[0]
+    if terms:
+        one = stored(supports(terms[0]), "supports")
+        if 8 * features.count() * width + 32 * one.count() + 16 * marks.count() <= LOCAL_BYTES:
+            return _train_local(features, one, marks, width, terms[1] + 1, classes, hidden, epochs, rate, decay, dropout, patience, seed, True)
+    held = stored(held, "supports")
     count = held.agg(F.max("s")).first()[0] + 1
     cells, arcs, marked = features.count() * width, held.count(), marks.count()
     if 8 * cells + 32 * arcs + 16 * marked <= LOCAL_BYTES:
@@ -138,11 +151,37 @@ def train_convolution(
     return z0.select("id", relu.alias("hidden")).join(z1.select("id", N.softmax(F.col("z")).alias("probs")), "id"), history
 
 
+def _times(to: np.ndarray, by: np.ndarray, v: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The product with the matrix of n rows whose entries are (to, by, v), sorted once; blocks of rows go over threads."""
+    order = np.argsort(to, kind="stable")
+    to, by, v = to[order], by[order], v[order, None]
+    cut = np.flatnonzero(np.diff(to, prepend=-1))
+    edges = np.unique(np.append(np.searchsorted(cut, np.arange(0, len(to), BLOCK)), len(cut)))
+    ends = np.append(cut, len(to))
+    pieces = [(to[cut[s:e]], by[ends[s] : ends[e]], v[ends[s] : ends[e]], cut[s:e] - ends[s]) for s, e in zip(edges, edges[1:])]
+
+    def product(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]))
+
+        def run(piece: tuple) -> None:
+            rows, near, values, starts = piece
+            out[rows] = np.add.reduceat(values * x[near], starts, axis=0)
+
+        if len(pieces) > 1:
+            with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
+                list(pool.map(run, pieces))
+        elif pieces:
+            run(pieces[0])
+        return out
+
+    return product
+
+
 def _train_local(
     features: DataFrame, held: DataFrame, marks: DataFrame, width: int, count: int, classes: int, hidden: int, epochs: int, rate: float,
-    decay: float, dropout: float, patience: int, seed: int,
+    decay: float, dropout: float, patience: int, seed: int, chebyshev: bool = False,
 ) -> tuple[DataFrame, list[dict]]:
-    """``train_convolution`` on tables of checked size."""
+    """``train_convolution`` on tables of checked size; ``chebyshev``: over the terms 0 to count - 1 of the one matrix held."""
     spark = features.sparkSession
     table = features.toArrow().sort_by("id")
     ids = table["id"].to_numpy()
@@ -151,10 +190,13 @@ def _train_local(
     known = lambda column: np.isin(column, ids)
     parts = held.toArrow()
     s, i, j, v = (parts[c].to_numpy() for c in ("s", "i", "j", "v"))
-    mats = []
-    for k in range(count):
-        mine = (s == k) & known(i) & known(j)
-        mats.append((place(i[mine]), place(j[mine]), v[mine]))
+    space = np.union1d(ids, np.concatenate([i, j])) if chebyshev else ids  # a term's paths may lead through nodes without features
+    seats = np.searchsorted(space, ids)
+    pairs = []
+    for k in range(1 if chebyshev else count):
+        mine = (s == k) & np.isin(i, space) & np.isin(j, space)
+        to, by = np.searchsorted(space, i[mine]), np.searchsorted(space, j[mine])
+        pairs.append((_times(to, by, v[mine], len(space)), _times(by, to, v[mine], len(space))))
     told = marks.toArrow()
     mine = known(told["id"].to_numpy()) & told["y"].is_valid().to_numpy()
     at, y, part = place(told["id"].to_numpy()[mine]), told["y"].to_numpy()[mine].astype(int), np.array(told["part"].to_pylist())[mine]
@@ -163,19 +205,32 @@ def _train_local(
     train = np.zeros(len(ids), bool)
     train[at[part == "train"]] = True
 
-    def summed(to: np.ndarray, by: np.ndarray, v: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        order = np.argsort(to, kind="stable")
-        out = np.zeros((len(ids), rows.shape[1]))
-        if len(order):
-            cut = np.flatnonzero(np.diff(to[order], prepend=-1))
-            out[to[order][cut]] = np.add.reduceat(v[order, None] * rows[by[order]], cut, axis=0)
+    def wider(rows: np.ndarray) -> np.ndarray:
+        if len(space) == len(ids):
+            return rows
+        out = np.zeros((len(space), rows.shape[1]))
+        out[seats] = rows
         return out
 
     def spread(rows: np.ndarray, wide: int) -> np.ndarray:
-        return sum(summed(to, by, v, rows[:, k * wide : (k + 1) * wide]) for k, (to, by, v) in enumerate(mats))
+        blocks = [rows[:, k * wide : (k + 1) * wide] for k in range(count)]
+        if not chebyshev:
+            return sum(times(np.ascontiguousarray(x)) for (times, _), x in zip(pairs, blocks))
+        times, blocks = pairs[0][0], [wider(x) for x in blocks]
+        one, two = blocks[-1], np.zeros((1, 1))  # Clenshaw's rule
+        for x in blocks[-2:0:-1]:
+            one, two = x + 2 * times(one) - two, one
+        return (blocks[0] + times(one) - two)[seats]
 
     def gathered(rows: np.ndarray) -> np.ndarray:
-        return np.hstack([summed(by, to, v, rows) for to, by, v in mats])
+        if not chebyshev:
+            return np.hstack([back(rows) for _, back in pairs])
+        back = pairs[0][1]
+        terms = [wider(rows)]
+        terms.append(back(terms[0]))
+        while len(terms) < count:
+            terms.append(2 * back(terms[-1]) - terms[-2])
+        return np.hstack([x[seats] for x in terms])
 
     def soft(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(1, keepdims=True))
@@ -224,9 +279,29 @@ def gcn_chebyshev(edges: DataFrame, features: DataFrame, marks: DataFrame, class
     nodes, a = features.select("id"), matrix.matrix(edges)
     if largest is None:
         lap = matrix.combined((1, matrix.identity(nodes)), (-1, matrix.symmetric_normalised(a)))
-        largest = matrix.largest_eigenvalue(stored(lap, "laplacian"), nodes, 60) or 2.0
+        largest = _largest(stored(lap, "laplacian"), nodes, 60) or 2.0
     scaled = stored(matrix.scaled_laplacian(a, nodes, largest), "scaled")
-    return _convolved(matrix.chebyshev(scaled, nodes, order), features, marks, classes, more)
+    return _convolved(matrix.chebyshev(scaled, nodes, order), features, marks, classes, more | ({"terms": (scaled, order)} if order > 1 else {}))
+
+
+def _largest(a: DataFrame, nodes: DataFrame, steps: int) -> float:
+    """``matrix.largest_eigenvalue``, in one process for a matrix of numbered nodes of at most ``LOCAL_BYTES``."""
+    if a.schema["i"].dataType.typeName() not in ("long", "integer") or 32 * a.count() > LOCAL_BYTES:
+        return matrix.largest_eigenvalue(a, nodes, steps)
+    start = nodes.select("id", (F.lit(1.0) + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("x")).toArrow()
+    cells = a.toArrow()
+    i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
+    space = np.union1d(start["id"].to_numpy(), np.concatenate([i, j]))
+    times = _times(np.searchsorted(space, i), np.searchsorted(space, j), cells["v"].to_numpy(), len(space))
+    x, value = np.zeros((len(space), 1)), 0.0
+    x[np.searchsorted(space, start["id"].to_numpy()), 0] = start["x"].to_numpy()
+    for _ in range(steps):
+        x = times(x)
+        value = float(np.sqrt((x * x).sum()))
+        if not value:
+            return 0.0
+        x /= value
+    return value
 
 
 def _convolved(matrices: list[DataFrame], features: DataFrame, marks: DataFrame, classes: int, more: dict) -> tuple[DataFrame, list[dict]]:

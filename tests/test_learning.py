@@ -130,6 +130,20 @@ def test_chebyshev_terms_take_the_largest_eigenvalue(groups, features, marks, mo
     assert top < 1.9 and np.allclose(got, 2 / top * lap - np.eye(len(ids)), atol=0.01)
 
 
+def test_chebyshev_terms_are_not_made_in_one_process(groups, features, marks, monkeypatch):
+    made, keep = [], networks.stored
+    monkeypatch.setattr(networks, "stored", lambda df, name: (made.append((name, [r["s"] for r in df.select("s").distinct().collect()] if name == "supports" else None)), keep(df, name))[1])
+    run = lambda: networks.gcn_chebyshev(groups.edges, features, marks, GROUPS, largest=1.7, hidden=5, epochs=3, dropout=0.4)
+    one, first = run()
+    assert ("supports", [0]) in made and len(made) == 4
+    monkeypatch.setattr(networks, "stored", keep)
+    held = networks.supports(*matrix.chebyshev(matrix.scaled_laplacian(matrix.matrix(groups.edges), features.select("id"), 1.7), features.select("id"), 3))
+    two, second = networks.train_convolution(features.select("id", networks.N.l1_normalised(F.col("features")).alias("features")), held, marks, GROUPS, hidden=5, epochs=3, dropout=0.4)
+    assert all(a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a]) for a, b in zip(first, second)) and len(first) == len(second) == 3
+    for a, b in zip(sorted(one.collect()), sorted(two.collect())):
+        assert a.id == b.id and np.allclose(a.hidden, b.hidden) and np.allclose(a.probs, b.probs)
+
+
 def test_dense_network_learns_features_and_stops_early(features, marks):
     found, net = networks.mlp(features, marks, GROUPS, dropout=0.0, epochs=15, rate=0.1)
     assert net.history[-1]["loss"] < net.history[0]["loss"]
