@@ -15,6 +15,8 @@ from graphloom.plans.storage import stored
 
 #: Communities of graphs of at most this many bytes, as counted by ``skew.size``, are found in one process.
 LOCAL_BYTES = 64 << 20
+#: Of a node's strength: a move that gains less is none, for sums are rounded.
+LEAST_GAIN = 1e-12
 #: Edges of a task that finds a forest of its own.
 FOREST_EDGES = 250_000
 #: More rows than ``FEW`` are chosen by counts of this many ranges of their draws, not sorted by one task.
@@ -85,22 +87,26 @@ def louvain(edges: DataFrame, seed: int = 23, patience: int = 4) -> DataFrame:
     """(id, part): communities by local moves of greatest modularity gain, level by level, until nothing gains.
 
     In a round half of the communities, drawn by a hash, may gain members from the others, so that
-    two nodes never swap places; only moves of positive gain are made.  A level ends when no node has
-    such a move, whatever the halves, or when moves made at once have cancelled each other for
-    ``patience`` rounds, with the best partition seen; the search ends with a level that merges nothing.
-    A graph of at most ``LOCAL_BYTES`` takes the same steps with the same draws in one process.
+    two nodes never swap places.  Of the moves into one community and out of one, in the order of their
+    gains, those are made that still gain after all before them; so each round with moves raises the
+    modularity.  A level ends when no node has a move that gains, whatever the halves; the search ends
+    with a level that merges nothing.  Arcs that are not the same both ways, or of negative weight,
+    promise no such rise: then a level also ends after ``patience`` rounds without one, with the best
+    partition seen.  A graph of at most ``LOCAL_BYTES`` takes the same steps with the same draws in one process.
     """
     graph = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain")
     kinds = {graph.schema[c].dataType.typeName() for c in ("src", "dst")}
     if len(kinds) == 1 and kinds <= {"string", "long", "integer"} and graph.where("src is null or dst is null or weight is null").isEmpty() and skew.size(graph) <= LOCAL_BYTES:
         return _louvain_local(graph, seed, patience)
     m2 = graph.agg(F.sum("weight")).first()[0] or 1.0
+    rises = graph.where("weight < 0").isEmpty() and graph.exceptAll(graph.select("dst", "src", "weight")).isEmpty()
     whole = stored(graph.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("part")), "parts")
     turn = 0
     while True:
         strength = stored(graph.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "strength")
         parts = best = strength.select("id", F.col("id").alias("part"), "k")
         top, since, moved = None, 0, False
+        least = LEAST_GAIN * F.abs("k")
         while True:
             turn += 1
             sizes = parts.groupBy("part").agg(F.sum("k").alias("s"))
@@ -113,11 +119,12 @@ def louvain(edges: DataFrame, seed: int = 23, patience: int = 4) -> DataFrame:
             left = sizes.select("part", F.col("s").alias("sp"))
             alone = F.coalesce(F.col("stay"), -F.col("k") * (F.col("sp") - F.col("k")) / m2)
             options = joined.withColumn("gain", gain).withColumn("stay", stay).join(left, "part")
-            options = stored(options.withColumn("gains", (F.col("to") != F.col("part")) & (F.col("gain") > alone + 1e-12)), "options")
+            options = options.withColumn("more", F.col("gain") - alone)
+            options = stored(options.withColumn("gains", (F.col("to") != F.col("part")) & (F.col("more") > least)), "options")
             squares = sizes.agg(F.sum(F.col("s") * F.col("s")).alias("q"))
             found = options.agg(F.sum(F.when(F.col("to") == F.col("part"), F.col("all"))).alias("within"), F.count(F.when(F.col("gains"), 1)).alias("gaining")).crossJoin(F.broadcast(squares)).first()
             quality = (found["within"] or 0.0) / m2 - (found["q"] or 0.0) / (m2 * m2)
-            if top is None or quality > top + 1e-10:
+            if rises or top is None or quality > top + 1e-10:
                 top, best, since = quality, parts, 0
             else:
                 since += 1
@@ -125,7 +132,10 @@ def louvain(edges: DataFrame, seed: int = 23, patience: int = 4) -> DataFrame:
                 break
             open_ = F.pmod(F.xxhash64("to", F.lit(seed + turn)), F.lit(2)) == 0
             closed = F.pmod(F.xxhash64("part", F.lit(seed + turn)), F.lit(2)) == 1
-            next_ = options.where(F.col("gains") & open_ & closed).groupBy("id").agg(F.max(F.struct("gain", F.col("to"))).alias("b")).select("id", F.col("b.to").alias("next"))
+            wanted = options.where(F.col("gains") & open_ & closed).groupBy("id").agg(F.max(F.struct("gain", "to", "more", "k", "part")).alias("b")).select("id", "b.*")
+            sooner = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("more"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            wanted = wanted.withColumn("before", sooner("to")).withColumn("before", F.col("before") + sooner("part"))
+            next_ = wanted.where(F.col("more") > least + F.col("k") * F.col("before") / m2).select("id", F.col("to").alias("next"))
             parts = stored(parts.join(next_, "id", "left").select("id", F.coalesce("next", "part").alias("part"), "k"), "parts")
             moved = True
         whole = stored(whole.join(best.select(F.col("id").alias("part"), F.col("part").alias("next")), "part", "left").select("id", F.coalesce("next", "part").alias("part")), "parts")
@@ -156,15 +166,39 @@ def _sums(keys: list[np.ndarray], *values: np.ndarray) -> list[np.ndarray]:
     return [a[first], b[first], *[np.add.reduceat(v[order], first) for v in values]]
 
 
+def _earlier(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each place the sum of the values at earlier places of the same key."""
+    order = np.argsort(keys, kind="stable")
+    sums = np.cumsum(values[order]) - values[order]
+    first = np.searchsorted(keys[order], keys[order])
+    found = np.empty(len(keys))
+    found[order] = sums - sums[first]
+    return found
+
+
 def _louvain_local(graph: DataFrame, seed: int, patience: int) -> DataFrame:
     """``louvain`` of summed arcs without nulls; places in the sorted ids stand for nodes and communities."""
     spark = graph.sparkSession
     nodes = graph.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h")).toArrow().sort_by("id")
     ids, hashes = nodes["id"].combine_chunks(), nodes["h"].to_numpy().astype(np.int64)
-    arcs, n = graph.toArrow(), len(nodes)
+    arcs = graph.toArrow()
     src, dst = (pc.index_in(arcs[c], value_set=ids).to_numpy().astype(np.int64) for c in ("src", "dst"))
-    weight = arcs["weight"].cast(pa.float64()).to_numpy()
-    m2, whole, turn = weight.sum() or 1.0, np.arange(n), 0
+    whole = _communities(src, dst, arcs["weight"].cast(pa.float64()).to_numpy(), hashes, seed, patience)
+    return spark.createDataFrame(pa.table({"id": ids, "part": ids.take(pa.array(whole))}))
+
+
+def _communities(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: np.ndarray, seed: int, patience: int) -> np.ndarray:
+    """The community of each of the nodes, one for each of ``hashes``.
+
+    A row (arc's source, community) of links stands at the place of one of the source's arcs.  After
+    a round only rows of nodes near those that moved are summed again, and only gains from or
+    into communities that changed are found again.
+    """
+    n, m2, turn = len(hashes), weight.sum() or 1.0, 0
+    whole = np.arange(n)
+    src, dst, weight = _sums([src, dst], weight)
+    back = np.lexsort((src, dst))
+    rises = not (weight < 0).any() and all(np.array_equal(x, y[back]) for x, y in ((src, dst), (dst, src), (weight, weight)))
     while True:
         here = np.zeros(n, bool)
         here[src] = True  # nodes without arcs of their own take no part
@@ -172,33 +206,60 @@ def _louvain_local(graph: DataFrame, seed: int, patience: int) -> DataFrame:
         parts = best = np.where(here, np.arange(n), -1)
         inside = here[dst]
         a, b, w, plain = src[inside], dst[inside], weight[inside], np.where(src == dst, 0.0, weight)[inside]
+        start, least = np.searchsorted(a, np.arange(n)), LEAST_GAIN * np.abs(k)
+        to, near, all_ = np.full(len(a), -1), np.zeros(len(a)), np.zeros(len(a))
+        more, gain, gains, stay = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a), bool), np.zeros(n)
+        touched, changed = here, np.append(np.ones(n, bool), False)  # the last stands for rows not in use
         top, since, moved = None, 0, False
         while True:
             turn += 1
             sizes = np.bincount(parts[here], k[here], n)
-            id_, to, near, all_ = _sums([a, parts[b]], plain, w)
-            own = to == parts[id_]
-            gain = near - k[id_] * (sizes[to] - np.where(own, k[id_], 0.0)) / m2
-            alone = -k * (sizes[parts] - k) / m2
-            alone[id_[own]] = gain[own]
-            gains = ~own & (gain > alone[id_] + 1e-12)
-            quality = all_[own].sum() / m2 - (sizes * sizes).sum() / (m2 * m2)
-            if top is None or quality > top + 1e-10:
-                top, best, since = quality, parts, 0
+            again = np.flatnonzero(touched[a])
+            to[again], gains[again] = -1, False
+            id_, *row = _sums([a[again], parts[b[again]]], plain[again], w[again])
+            place = start[id_] + np.arange(len(id_)) - np.searchsorted(id_, id_)
+            to[place], near[place], all_[place] = row
+            fresh = touched | changed[parts]
+            rows = np.flatnonzero((fresh[a] | changed[to]) & (to >= 0))
+            id_, into = a[rows], to[rows]
+            own = into == parts[id_]
+            gain[rows] = near[rows] - k[id_] * (sizes[into] - np.where(own, k[id_], 0.0)) / m2
+            # a node without links into its own community gains by leaving it
+            stay[fresh] = (-k * (sizes[parts] - k) / m2)[fresh]
+            stay[id_[own]] = gain[rows[own]]
+            more[rows] = gain[rows] - stay[id_]
+            gains[rows] = ~own & (more[rows] > least[id_])
+            if rises:
+                best = parts
             else:
-                since += 1
-            if since >= patience or not gains.any():
+                quality = all_[to == parts[a]].sum() / m2 - (sizes * sizes).sum() / (m2 * m2)
+                if top is None or quality > top + 1e-10:
+                    top, best, since = quality, parts, 0
+                else:
+                    since += 1
+            found = np.flatnonzero(gains)
+            if since >= patience or not len(found):
                 break
             odd = _odd(hashes, seed + turn)
-            may = gains & ~odd[to] & odd[parts[id_]]
-            order = np.lexsort((to[may], gain[may], id_[may]))
+            found = found[~odd[to[found]] & odd[parts[a[found]]]]
+            found = found[np.lexsort((to[found], gain[found], a[found]))]
+            found = found[np.append(a[found[1:]] != a[found[:-1]], True)[: len(found)]]  # of one node the last, its greatest gain
+            found = found[np.lexsort((a[found], -more[found]))]
+            id_, into = a[found], to[found]
+            made = more[found] > least[id_] + k[id_] * (_earlier(into, k[id_]) + _earlier(parts[id_], k[id_])) / m2
+            id_, into = id_[made], into[made]
+            touched, changed = np.zeros(n, bool), np.zeros(n + 1, bool)
+            changed[parts[id_]] = changed[into] = True
             parts = parts.copy()
-            parts[id_[may][order]] = to[may][order]  # of one node the last holds, its greatest gain
+            parts[id_] = into
+            gone = np.zeros(n, bool)
+            gone[id_] = True
+            touched[a[gone[b]]] = True
             moved = True
         there = here[whole]
         whole = np.where(there, best[whole], whole)
         if not moved or (best[here] == np.flatnonzero(here)).all():
-            return spark.createDataFrame(pa.table({"id": ids, "part": ids.take(pa.array(whole))}))
+            return whole
         src, dst, weight = _sums([best[a], best[b]], w)
 
 

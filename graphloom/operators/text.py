@@ -56,40 +56,70 @@ def nearest_neighbours(vectors: DataFrame, k: int, id_: str = "vec_id", vector:
     return best.select("src", F.explode("p").alias("p")).select("src", F.col("p.dst").alias("dst"), (-F.col("p.loss")).alias("weight"))
 
 
+def _largest(sims: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns, in this order, of all values above the row's floor that can be among its k largest; of equal ones the first."""
+    above = sims > floor[:, None]
+    if np.count_nonzero(above) <= 4 * k * len(sims) or sims.shape[1] <= k:
+        return np.nonzero(above)
+    least = -np.partition(-sims, k - 1, axis=1)[:, k - 1]  # NaNs last
+    floor = np.where(np.isnan(least), -np.inf, np.maximum(least, floor))
+    over = above & (sims > floor[:, None])
+    row, col = np.nonzero(above & (sims == floor[:, None]))
+    start = np.searchsorted(row, np.arange(len(sims)))
+    some = np.arange(len(row)) - start[row] < (k - np.count_nonzero(over, axis=1))[row]
+    over[row[some], col[some]] = True
+    return np.nonzero(over)
+
+
 def _nearest(k: int, tile: int = 4096, width: int = 1024):
-    def unit(lists: list) -> np.ndarray:
-        m = np.array(lists, float)
+    def unit(m: np.ndarray) -> np.ndarray:
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
+    def matrix(lists: pa.ListArray) -> np.ndarray:
+        size = np.diff(lists.offsets.to_numpy())
+        if lists.null_count or (size != size[0]).any():
+            raise ValueError("vectors must not be null, and of one length")
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple] = []
         held: list[tuple] = []
         state: dict = {}
 
-        def absorb(rows: list[tuple]) -> None:
+        def absorb(ids: np.ndarray, other: np.ndarray) -> None:
             if not state:
-                state["id"], state["x"] = np.array([r[0] for r in own], np.int64), unit([r[1] for r in own])
-                state["w"], state["d"] = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64)
-            ids, other = np.array([r[0] for r in rows], np.int64), unit([r[1] for r in rows])
-            w, d = [], []
-            for lo in range(0, len(own), width):
+                state["id"], state["x"] = np.concatenate([i for i, _ in own]), unit(np.concatenate([x for _, x in own]))
+                state["w"], state["d"] = np.full((len(state["id"]), k), -np.inf), np.zeros((len(state["id"]), k), np.int64)
+            other = unit(other)
+            for lo in range(0, len(state["id"]), width):
+                mine, w, d = (state[c][lo : lo + width] for c in ("id", "w", "d"))
                 sims = state["x"][lo : lo + width] @ other.T
-                sims[state["id"][lo : lo + width, None] == ids[None, :]] = -np.inf
-                at = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
-                w.append(np.take_along_axis(sims, at, 1))
-                d.append(ids[at])
-            w, d = np.concatenate([state["w"], np.concatenate(w)], 1), np.concatenate([state["d"], np.concatenate(d)], 1)
-            order = np.lexsort((d, -w), axis=1)[:, :k]
-            state["w"], state["d"] = np.take_along_axis(w, order, 1), np.take_along_axis(d, order, 1)
+                at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                for row in np.flatnonzero(ids[at] == mine):
+                    sims[row, ids == mine[row]] = -np.inf
+                # ids ascend, also from tile to tile, so ties go to those that are held
+                row, col = _largest(sims, w.min(axis=1), k)
+                count = np.bincount(row, minlength=len(mine))
+                place = k + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                both = np.full((len(mine), k + count.max()), -np.inf)
+                ends = np.zeros(both.shape, np.int64)
+                both[:, :k], ends[:, :k] = w, d
+                both[row, place], ends[row, place] = sims[row, col], ids[col]
+                order = np.lexsort((ends, -both), axis=1)[:, :k]
+                w[:], d[:] = np.take_along_axis(both, order, 1), np.take_along_axis(ends, order, 1)
 
         for batch in batches:
-            for side, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                (held if side else own).append(tuple(row))
-            while own and len(held) >= tile:
-                absorb(held[:tile])
-                held = held[tile:]
-        if own and held:
-            absorb(held)
+            side, ids = batch["side"].to_numpy(), batch["id"].to_numpy()
+            vectors = matrix(batch["x"]) if len(batch) else np.zeros((0, 0))
+            for rows, to in ((side == 0, own), (side == 1, held)):
+                if rows.any():
+                    to.append((ids[rows], vectors[rows]))
+            while own and sum(len(i) for i, _ in held) >= tile:
+                ids, vectors = (np.concatenate(c) for c in zip(*held))
+                absorb(ids[:tile], vectors[:tile])
+                held = [(ids[tile:], vectors[tile:])]
+        if own and any(len(i) for i, _ in held):
+            absorb(*(np.concatenate(c) for c in zip(*held)))
         for lo in range(0, len(state.get("id", ())), 2048):
             real = [np.isfinite(x) for x in state["w"][lo : lo + 2048]]
             dst = [x[r].tolist() for x, r in zip(state["d"][lo : lo + 2048], real)]

@@ -3,12 +3,13 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import numeric as N
-from graphloom.operators import embed, evaluate, graph, matrix, sampling, skew, structure
+from graphloom.operators import embed, evaluate, graph, matrix, sampling, skew, structure, text
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans import graph_queries
 from graphloom.plans.storage import stored
@@ -324,3 +325,51 @@ def test_louvain_in_one_process_equals_that_over_tables(spark, monkeypatch):
     assert tables == ["louvain"]
     monkeypatch.setattr(structure, "LOCAL_BYTES", 0)
     assert rows(structure.louvain(edges)) == one and len(tables) > 10
+
+
+def test_louvain_moves_made_at_once_do_not_cancel(spark, monkeypatch):
+    """Without an order of moves into and out of a community, ties keep nodes moving: this graph then takes 323 rounds."""
+    turns, odd = [], structure._odd
+    monkeypatch.setattr(structure, "_odd", lambda hashes, number: turns.append(number) or odd(hashes, number))
+    draw = np.random.default_rng(2000)
+    pairs = [(a, int(b), 1.0) for a in range(2000) for b in draw.integers(0, 2000, 3)]
+    edges = graph.symmetrized(spark.createDataFrame(pairs, "src long, dst long, weight double").dropDuplicates(["src", "dst"]))
+    found = structure.louvain(edges)
+    assert found.count() == 2000 and len(turns) < 200
+    assert structure.modularity(edges, found).first()[0] > 0.38
+
+
+def test_louvain_ends_on_arcs_of_one_way_and_of_negative_weight(spark):
+    draw = np.random.default_rng(7)
+    pairs = [(a, int(b), float(w)) for a in range(200) for b, w in zip(draw.integers(0, 200, 3), draw.integers(-1, 5, 3))]
+    found = structure.louvain(spark.createDataFrame(pairs, "src long, dst long, weight double"))
+    assert found.count() == len({x for a, b, _ in pairs for x in (a, b)})
+
+
+@pytest.mark.parametrize("case", ["random", "ties", "copies", "nulls"])
+def test_nearest_rows_of_tiles_are_selected_not_sorted(case, monkeypatch):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(700, 6))
+    if case == "ties":
+        x = np.round(x)
+    if case == "copies":
+        x[::2] = 1.0
+    if case == "nulls":
+        x[::5, 2] = np.nan
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for i in range(300):
+        sims = [(-float(unit[i] @ unit[j]), j) for j in range(700) if j != i]
+        want[i] = sorted((s, j) for s, j in sims if not math.isnan(s))[:5]
+    ids, side = list(range(300)) + list(range(700)), [0] * 300 + [1] * 700
+    lists = [[None if math.isnan(v) else float(v) for v in x[i]] for i in ids]
+    table = pa.table({"side": pa.array(side, pa.int32()), "id": pa.array(ids, pa.int64()), "x": pa.array(lists, pa.list_(pa.float64()))})
+    monkeypatch.setattr(text.np, "argsort", lambda *_, **__: pytest.fail("a tile is sorted"))
+    found = [r for batch in text._nearest(5, 128, 100)(iter(table.to_batches(90))) for r in batch.to_pylist()]
+    assert [r["src"] for r in found] == list(range(300))
+    for r in found:
+        assert np.allclose(r["weight"], [-s for s, _ in want[r["src"]]], atol=1e-12)
+        if case in ("random", "nulls"):
+            assert r["dst"] == [j for _, j in want[r["src"]]]
+        if case == "copies" and r["src"] % 2 == 0:
+            assert r["dst"] == [j for j in range(0, 14, 2) if j != r["src"]][:5]
